@@ -18,8 +18,9 @@ difference cover modulo ``PERIOD``: every two places have a common shift, under
 ``PERIOD``, that brings both to sample places. Sample suffixes are ranked
 first, by ``length - PERIOD + 1`` bytes. Suffixes are then split by their first
 ``PERIOD`` bytes, and what ties by rounds of comparison with a pivot: bytes
-agree up to the common shift, the ranks there decide the rest. Ties of any
-length so cost one comparison, and a block's memory is a multiple of its bytes.
+agree up to the common shift, the ranks there decide all but the last bytes,
+which part what is left. Ties of any length so cost one comparison, and a
+block's memory is a multiple of its bytes.
 A bucket over the bound of a block is dealt anew by the hash of the whole
 string, for which counting is enough.
 
@@ -145,7 +146,7 @@ def key_filter(keys: DataFrame) -> bytes:
                 own = pages.setdefault(int(k), np.zeros(1 << page, bool))
                 own[slot[slot >> page == k] & ((1 << page) - 1)] = True
         for k, v in pages.items():
-            yield pa.RecordBatch.from_pydict({"page": [k], "bits": [np.packbits(v, bitorder="little").tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["page", "bits"])
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keys.mapInArrow(_with_page(page), "page int, key long").repartition(n, "page").mapInArrow(f, "page int, bits binary")
@@ -194,7 +195,7 @@ def equal_classes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: i
     while True:
         todo = np.flatnonzero(~settled)
         if not len(todo):
-            return cls
+            break
         o = todo[np.argsort(cls[todo], kind="stable")]
         new = np.ones(len(o), bool)
         new[1:] = cls[o[1:]] != cls[o[:-1]]
@@ -209,6 +210,10 @@ def equal_classes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: i
         cls = cls.copy()
         cls[o] = fresh + (cls.max() + 1)
         settled[o[np.bincount(fresh)[fresh] == 1]] = True
+    # a small common shift leaves the last bytes open
+    for k in (*range(length - PERIOD, length - 8, 8), length - 8):
+        cls = _refine(cls, np.ascontiguousarray(words[at + k]).view(">u8").ravel().astype(np.uint64))
+    return cls
 
 
 def _refine(rank: np.ndarray, w: np.ndarray) -> np.ndarray:
