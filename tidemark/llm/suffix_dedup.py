@@ -16,11 +16,11 @@ distinct segments of buckets with two or more are sorted.
 A block of buckets is sorted at a time. Sample places are those in a
 difference cover modulo ``PERIOD``: every two places have a common shift, under
 ``PERIOD``, that brings both to sample places. Sample suffixes are ranked
-first, by ``length - PERIOD + 1`` bytes. Suffixes are then split by their first
-``PERIOD`` bytes, and what ties by rounds of comparison with a pivot: bytes
-agree up to the common shift, the ranks there decide all but the last bytes,
-which part what is left. Ties of any length so cost one comparison, and a
-block's memory is a multiple of its bytes.
+first, by ``length`` bytes. Suffixes are then split by their first ``PERIOD``
+bytes, and what ties by rounds of comparison with a pivot: bytes agree up to
+the common shift, the ranks there decide. Ties of any length so cost one
+comparison, and a block's memory is a multiple of its bytes. Neighbours in the
+order are compared byte for byte.
 A bucket over the bound of a block is dealt anew by the hash of the whole
 string, for which counting is enough.
 
@@ -166,36 +166,26 @@ def _with_page(page: int):
     return f
 
 
-def equal_classes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """A number for each place of ``at``, equal where the group and the next ``length`` bytes are equal.
-
-    Difference-cover sorting of one block; ``text`` has ``length`` bytes after every place.
-    """
-    if length <= 2 * PERIOD:
-        view = np.lib.stride_tricks.sliding_window_view(text, length)[at]
-        _, c = np.unique(np.column_stack([np.ascontiguousarray(group.astype(">i8")).view(np.uint8).reshape(-1, 8), view]), axis=0, return_inverse=True)
-        return c.ravel()
-    tail = length - PERIOD + 1
-    whole = np.concatenate([text, np.zeros(length, np.uint8)])
+def sorted_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Order of the places ``at`` by group, then by the first ``length`` bytes from there: difference-cover sorting of one block."""
+    whole = np.concatenate([text, np.zeros(length + 8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(whole, 8)
     sample = np.flatnonzero(np.isin(np.arange(len(text)) % PERIOD, COVER))
     # ranks of the sample suffixes, 8 bytes at a time: each pass refines the order of what was equal so far
-    words = np.lib.stride_tricks.sliding_window_view(whole, 8)
     rank = np.zeros(len(sample), np.int64)
-    for k in range(0, tail, 8):
-        k = min(k, tail - 8)
-        w = np.ascontiguousarray(words[sample + k]).view(">u8").ravel().astype(np.uint64)
-        rank = _refine(rank, w)
+    for k in range(0, length, 8):
+        rank = _refine(rank, _word(words, sample + k))
     rank_at = np.full(len(text), -1, np.int64)
     rank_at[sample] = rank
     cls = np.unique(group, return_inverse=True)[1].ravel()
     for k in (*range(0, PERIOD - 8, 8), PERIOD - 8):
-        cls = _refine(cls, np.ascontiguousarray(words[at + k]).view(">u8").ravel().astype(np.uint64))
+        cls = _refine(cls, _word(words, at + k))
+    # a class goes by the place of its first member in the order
+    size = np.bincount(cls)
+    cls = (np.cumsum(size) - size)[cls]
+    settled = np.bincount(cls, minlength=len(at))[cls] == 1
     # rounds of three-way splitting: every unsettled class picks a pivot and parts into less, equal, greater
-    settled = np.zeros(len(at), bool)
-    while True:
-        todo = np.flatnonzero(~settled)
-        if not len(todo):
-            break
+    while len(todo := np.flatnonzero(~settled)):
         o = todo[np.argsort(cls[todo], kind="stable")]
         new = np.ones(len(o), bool)
         new[1:] = cls[o[1:]] != cls[o[:-1]]
@@ -204,16 +194,31 @@ def equal_classes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: i
         of = np.repeat(np.arange(len(starts)), size)
         pivot = o[starts + size // 2][of]
         s = SHIFT[at[o] % PERIOD, at[pivot] % PERIOD]
-        side = np.sign(rank_at[at[o] + s] - rank_at[at[pivot] + s])
-        settled[o[side == 0]] = True
-        fresh = of * 3 + side + 1
-        cls = cls.copy()
-        cls[o] = fresh + (cls.max() + 1)
-        settled[o[np.bincount(fresh)[fresh] == 1]] = True
-    # a small common shift leaves the last bytes open
-    for k in (*range(length - PERIOD, length - 8, 8), length - 8):
-        cls = _refine(cls, np.ascontiguousarray(words[at + k]).view(">u8").ravel().astype(np.uint64))
-    return cls
+        side = np.sign(rank_at[at[o] + s] - rank_at[at[pivot] + s]).astype(np.int64)
+        part = np.bincount(of * 3 + side + 1, minlength=3 * len(starts))
+        ahead = (np.cumsum(part) - part).reshape(-1, 3)
+        cls[o] += (ahead - ahead[:, :1]).ravel()[of * 3 + side + 1]
+        settled[o[(side == 0) | (part[of * 3 + side + 1] == 1)]] = True
+    return np.argsort(cls, kind="stable")
+
+
+def _word(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(words[at]).view(">u8").ravel().astype(np.uint64)
+
+
+def repeated_places(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Whether the next ``length`` bytes of each place are found at another place of its group: equal ones are neighbours."""
+    o = sorted_suffixes(text, at, group, length)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(8, np.uint8)]), 8)
+    left, right = at[o[:-1]], at[o[1:]]
+    same = group[o[:-1]] == group[o[1:]]
+    for k in (*range(0, length - 8, 8), length - 8):
+        w = np.flatnonzero(same)
+        same[w] = (words[left[w] + k] == words[right[w] + k]).all(axis=1)
+    flag = np.zeros(len(at), bool)
+    flag[o[:-1]] |= same
+    flag[o[1:]] |= same
+    return flag
 
 
 def _refine(rank: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -233,9 +238,7 @@ def repeats_in_block(seg: list[bytes], group: np.ndarray, length: int = LENGTH)
     count = sizes - length + 1
     text = np.frombuffer(b"".join(seg), np.uint8)
     at = np.repeat(base - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    c = equal_classes(text, at, np.repeat(group, count), length)
-    again = np.unique(c, return_inverse=True, return_counts=True)
-    flag = again[2][again[1].ravel()] > 1
+    flag = repeated_places(text, at, np.repeat(group, count), length)
     return np.split(flag, np.cumsum(count)[:-1])
 
 
