@@ -67,6 +67,9 @@ def shift_table() -> np.ndarray:
 
 SHIFT = shift_table()
 
+# Byte values of a second, independent hash.
+OTHER_VALUE = T.mix64(T.BYTE_VALUE)
+
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every ``w`` consecutive values, from running minima of blocks of that length, both ways."""
@@ -78,37 +81,42 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def segments(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM, keys_only: bool = False) -> tuple[np.ndarray, ...]:
     """(row, start in row, number of suffixes, bucket key, two hashes of the segment)."""
     n = len(raw)
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     if n < length:
         return none
     run = T.prefix_hash(raw)
-    p = np.arange(n - gram + 1)
-    h = T.span_hash(run, p, p + gram)
+    h = run[gram:] - run[:-gram]
+    h *= T.powers(n)[1][: len(h)]
+    h = T.mix64(h)
     # the place in the low bits makes the leftmost of equal hashes win, wherever the text stands
     low = np.uint64((1 << 26) - 1)
     assert n < 1 << 26
-    m = window_min((h & ~low) | p.astype(np.uint64), length - gram + 1)
-    anchor = (m & low).astype(np.int64)
-    row = np.searchsorted(off, np.arange(len(anchor)), "right") - 1
-    ok = np.arange(len(anchor)) + length <= off[row + 1]
-    at = np.flatnonzero(ok)
-    if not len(at):
+    m = window_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+    m &= low
+    anchor = m.view(np.int64)
+    lens = np.diff(off)
+    ok = np.repeat(off[1:] - length, lens)[: len(anchor)] >= np.arange(len(anchor))
+    first = ok.copy()
+    first[1:] &= (anchor[1:] != anchor[:-1]) | ~ok[:-1]
+    first[off[:-1][(off[:-1] < len(anchor)) & (lens > 0)]] |= ok[off[:-1][(off[:-1] < len(anchor)) & (lens > 0)]]
+    s = np.flatnonzero(first)
+    if not len(s):
         return none
-    first = np.ones(len(at), bool)
-    first[1:] = (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
-    b = np.flatnonzero(first)
-    count = np.diff(np.append(b, len(at)))
-    s = at[b]
+    key = h[anchor[s]]
+    if keys_only:
+        return s, s, s, key, key, key
+    seen = np.cumsum(ok)
+    count = np.diff(np.append(seen[s] - 1, seen[-1]))
+    row = np.searchsorted(off, s, "right") - 1
     e = s + count - 1 + length
     shape = (anchor[s] - s).astype(np.uint64)  # equal bytes with equal grams have it equal
-    hashes = [T.span_hash(run, s, e, seed) for seed in (1,)]
+    h1 = T.span_hash(run, s, e, 1)
     other = np.zeros(n + 1, np.uint64)
-    other[1:] = np.cumsum(T.mix64(T.BYTE_VALUE)[raw] * T.powers(n)[0][:n])
-    hashes.append(T.span_hash(other, s, e, 2) ^ T.mix64(shape))
-    return row[s], s - off[row[s]], count, h[anchor[s]], hashes[0], hashes[1]
+    np.cumsum(OTHER_VALUE[raw] * T.powers(n)[0][:n], out=other[1:])
+    return row, s - off[row], count, key, h1, T.span_hash(other, s, e, 2) ^ T.mix64(shape)
 
 
 def _segment_rows(length: int, sieve=None, keys_only: bool = False):
@@ -118,7 +126,7 @@ def _segment_rows(length: int, sieve=None, keys_only: bool = False):
             for i, j in T.slices(b.column(0), SLICE_BYTES):
                 part = b.slice(i, j - i)
                 raw, off = T.column_bytes(part.column(0))
-                row, start, count, key, h1, h2 = segments(raw, off, length)
+                row, start, count, key, h1, h2 = segments(raw, off, length, keys_only=keys_only)
                 if keys_only:
                     yield pa.RecordBatch.from_pydict({"key": key.view(np.int64)})
                     continue
@@ -169,20 +177,14 @@ def _with_page(page: int):
 def sorted_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Order of the places ``at`` by group, then by the first ``length`` bytes from there: difference-cover sorting of one block."""
     whole = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(whole, 8)
+    words = np.lib.stride_tricks.sliding_window_view(whole, 4)
     sample = np.flatnonzero(np.isin(np.arange(len(text)) % PERIOD, COVER))
-    # ranks of the sample suffixes, 8 bytes at a time: each pass refines the order of what was equal so far
-    rank = np.zeros(len(sample), np.int64)
-    for k in range(0, length, 8):
-        rank = _refine(rank, _word(words, sample + k))
     rank_at = np.full(len(text), -1, np.int64)
-    rank_at[sample] = rank
-    cls = np.unique(group, return_inverse=True)[1].ravel()
-    for k in (*range(0, PERIOD - 8, 8), PERIOD - 8):
-        cls = _refine(cls, _word(words, at + k))
+    rank_at[sample] = _by_bytes(words, sample, np.zeros(len(sample), np.int64), length)
     # a class goes by the place of its first member in the order
+    cls = np.unique(group, return_inverse=True)[1].ravel()
     size = np.bincount(cls)
-    cls = (np.cumsum(size) - size)[cls]
+    cls = _by_bytes(words, at, (np.cumsum(size) - size)[cls], PERIOD)
     settled = np.bincount(cls, minlength=len(at))[cls] == 1
     # rounds of three-way splitting: every unsettled class picks a pivot and parts into less, equal, greater
     while len(todo := np.flatnonzero(~settled)):
@@ -202,8 +204,30 @@ def sorted_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length:
     return np.argsort(cls, kind="stable")
 
 
-def _word(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(words[at]).view(">u8").ravel().astype(np.uint64)
+def _by_bytes(words: np.ndarray, at: np.ndarray, cls: np.ndarray, length: int) -> np.ndarray:
+    """Split classes by ``length`` bytes, four at a time; whoever is alone in a class is done."""
+    cls = cls.copy()
+    size = np.bincount(cls, minlength=len(at))
+    todo = np.flatnonzero(size[cls] > 1)
+    for k in (*range(0, length - 4, 4), length - 4):
+        if not len(todo):
+            break
+        w = np.ascontiguousarray(words[at[todo] + k]).view(">u4").ravel().astype(np.int64)
+        key = (cls[todo] << 32) | w
+        o = np.argsort(key)
+        key, todo = key[o], todo[o]
+        old, place = cls[todo], np.arange(len(todo))
+        new = np.ones(len(todo), bool)
+        new[1:] = key[1:] != key[:-1]
+        top = np.ones(len(todo), bool)
+        top[1:] = old[1:] != old[:-1]
+        lead = np.flatnonzero(new)
+        base = np.maximum.accumulate(np.where(top, place, 0))
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        cls[todo] = old + start - base
+        alone = np.diff(np.append(lead, len(todo))) == 1
+        todo = todo[~np.repeat(alone, np.diff(np.append(lead, len(todo))))]
+    return cls
 
 
 def repeated_places(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -214,23 +238,13 @@ def repeated_places(text: np.ndarray, at: np.ndarray, group: np.ndarray, length:
     same = group[o[:-1]] == group[o[1:]]
     for k in (*range(0, length - 8, 8), length - 8):
         w = np.flatnonzero(same)
-        same[w] = (words[left[w] + k] == words[right[w] + k]).all(axis=1)
+        same[w] = np.ascontiguousarray(words[left[w] + k]).view(np.int64).ravel() == np.ascontiguousarray(words[right[w] + k]).view(np.int64).ravel()
     flag = np.zeros(len(at), bool)
     flag[o[:-1]] |= same
     flag[o[1:]] |= same
     return flag
 
 
-def _refine(rank: np.ndarray, w: np.ndarray) -> np.ndarray:
-    o = np.lexsort((w, rank))
-    new = np.zeros(len(o), np.int64)
-    if len(o):
-        new[1:] = (rank[o[1:]] != rank[o[:-1]]) | (w[o[1:]] != w[o[:-1]])
-    out = np.empty(len(o), np.int64)
-    out[o] = np.cumsum(new)
-    return out
-
-
 def repeats_in_block(seg: list[bytes], group: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, which of its suffixes are found again in its group."""
     sizes = np.array([len(s) for s in seg], np.int64)
