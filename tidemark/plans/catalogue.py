@@ -1,2 +1,349 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Named queries over the test tables and the same in SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import bloom, encoding, levels, manifest, merge, versions, wal
+from ..sources import workload as src
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+LOG = """log AS (SELECT printf('u%04d', user_id) AS user_key, event_id + 1 AS seq,
+    CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS TINYINT) AS vtype,
+    CASE WHEN event_type = 'error' THEN '' ELSE props END AS value FROM events)"""
+HALF = "(SELECT (max(event_id) + 1) // 2 FROM events)"
+FILES = """files AS (SELECT level, level * 100000 + part AS number, CAST(sum(strlen(user_key) + strlen(value)) * 1000 AS BIGINT) AS file_size,
+    min(user_key) AS smallest, max(user_key) AS largest
+    FROM (SELECT CAST(seq % 4 AS INTEGER) AS level, CAST(substr(user_key, 2) AS BIGINT) // (CASE WHEN seq % 4 = 0 THEN 60 ELSE 25 END) AS part, user_key, value FROM log) GROUP BY level, part)"""
+EDITS = """edits AS (SELECT (seq - 1) // 1000 AS edit_no, max(seq) AS last_sequence, max(user_key) AS top, (seq - 1) // 1000 % 4 = 3 AS every FROM log GROUP BY ALL)"""
+
+
+def query(sql: str | None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log) SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0")
+def kv_latest(spark, d):
+    return versions.as_of(src.events_log(spark, d))
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log WHERE seq <= {HALF}) SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0")
+def kv_as_of(spark, d):
+    return versions.as_of(src.events_log(spark, d, src.last_seq(spark, d) // 2))
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log) SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0 AND user_key = 'u0042'")
+def kv_get(spark, d):
+    return versions.get(src.events_log(spark, d), "u0042")
+
+
+@query(f"WITH {LOG} SELECT user_key, seq, vtype, value, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS depth FROM log")
+def kv_version_history(spark, d):
+    return versions.history(src.events_log(spark, d))
+
+
+def _probes(log: DataFrame) -> DataFrame:
+    keys = log.select("user_key").distinct()
+    return keys.unionByName(keys.select(F.concat(F.lit("x"), "user_key").alias("user_key")))
+
+
+PROBES = "probes AS (SELECT DISTINCT user_key FROM log UNION ALL SELECT DISTINCT 'x' || user_key FROM log)"
+
+
+@query(
+    f"""WITH {LOG}, {PROBES}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log)
+    SELECT p.user_key, CASE WHEN vtype IS NULL THEN 'missing' WHEN vtype = 1 THEN 'deleted' ELSE 'present' END AS status, CASE WHEN vtype = 0 THEN value END AS value
+    FROM probes p LEFT JOIN r ON p.user_key = r.user_key AND n = 1"""
+)
+def kv_tristate_get(spark, d):
+    log = src.events_log(spark, d)
+    return versions.status(log, _probes(log))
+
+
+@query(
+    f"""WITH {LOG}, {PROBES}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log)
+    SELECT p.user_key, CASE WHEN vtype = 0 THEN value END AS value FROM probes p LEFT JOIN r ON p.user_key = r.user_key AND n = 1"""
+)
+def kv_multi_get(spark, d):
+    log = src.events_log(spark, d)
+    return versions.multi_get(log, _probes(log))
+
+
+@query(
+    f"""WITH {LOG}, m AS (SELECT max(event_id) + 1 AS n FROM events), p AS (SELECT user_key, n * k // 10 AS "at" FROM (SELECT DISTINCT user_key FROM log), m, (VALUES (1), (5), (9)) t(k)),
+    j AS (SELECT p.user_key, p."at", l.seq, l.vtype, l.value FROM p ASOF LEFT JOIN log l ON p.user_key = l.user_key AND p."at" >= l.seq)
+    SELECT user_key, "at", CASE WHEN vtype = 0 THEN seq END AS seq, CASE WHEN vtype = 0 THEN value END AS value FROM j"""
+)
+def kv_snapshot_lookup(spark, d):
+    log, n = src.events_log(spark, d), src.last_seq(spark, d)
+    at = F.explode(F.array(*(F.lit(n * k // 10).cast("long") for k in (1, 5, 9))))
+    return versions.lookup(log, log.select("user_key").distinct().withColumn("at", at))
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log) SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0 ORDER BY user_key LIMIT 100")
+def kv_ordered_scan_page(spark, d):
+    return versions.scan(src.events_log(spark, d), limit=100)
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log) SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0")
+def kv_full_scan(spark, d):
+    return versions.scan(src.events_log(spark, d))
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log WHERE user_key BETWEEN 'u0010' AND 'u0050') SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0")
+def kv_range_scan(spark, d):
+    return versions.scan(src.events_log(spark, d), low="u0010", high="u0050")
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log WHERE starts_with(user_key, 'u00')) SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0")
+def kv_prefix_scan(spark, d):
+    return versions.scan(src.events_log(spark, d), prefix="u00")
+
+
+@query(f"WITH {LOG}, t AS (SELECT DISTINCT user_key || 'a' AS target FROM log) SELECT target, (SELECT min(user_key) FROM log WHERE user_key >= target) AS user_key FROM t")
+def kv_lower_bound(spark, d):
+    keys = src.events_log(spark, d).select("user_key")
+    return versions.lower_bound(keys, keys.select(F.concat("user_key", F.lit("a")).alias("target")))
+
+
+@query(f"WITH {LOG} SELECT user_key, seq, vtype, (seq - 1) // 1000 AS run_no FROM log")
+def kv_merge_runs(spark, d):
+    runs = levels.assign_runs(src.events_log(spark, d)).select("user_key", "seq", "vtype", "run_no")
+    return merge.merge(runs.where("run_no % 2 = 0"), runs.where("run_no % 2 = 1"))
+
+
+FATE = f"""a AS (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS newer FROM log),
+    f AS (SELECT *, CASE WHEN coalesce(newer <= {HALF}, false) THEN 'superseded' WHEN vtype = 1 AND seq <= {HALF} THEN 'tombstone' ELSE 'kept' END AS fate FROM a)"""
+
+
+@query(f"WITH {LOG}, {FATE} SELECT user_key, seq, vtype, value FROM f WHERE fate = 'kept'")
+def kv_retention(spark, d):
+    return merge.retain(src.events_log(spark, d), src.last_seq(spark, d) // 2)
+
+
+@query(
+    f"""WITH {LOG}, {FILES}, a AS (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS newer FROM log)
+    SELECT user_key, seq, vtype, value FROM a WHERE NOT (coalesce(newer <= {HALF}, false) OR (vtype = 1 AND seq <= {HALF}
+      AND NOT EXISTS (SELECT 1 FROM files WHERE level >= 2 AND number % 3 = 0 AND a.user_key BETWEEN smallest AND largest)))"""
+)
+def kv_retention_base_level(spark, d):
+    log = src.events_log(spark, d)
+    return merge.retain(log, src.last_seq(spark, d) // 2, src.files(log).where("level >= 2 and number % 3 = 0"))
+
+
+@query(f"WITH {LOG}, {FATE} SELECT user_key, count(*) FILTER (fate = 'kept') AS kept, count(*) FILTER (fate = 'superseded') AS superseded, count(*) FILTER (fate = 'tombstone') AS tombstones FROM f GROUP BY user_key")
+def kv_gc_stats(spark, d):
+    return merge.gc_stats(src.events_log(spark, d), src.last_seq(spark, d) // 2)
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER w AS n, lead(vtype) OVER w AS below FROM log WINDOW w AS (PARTITION BY user_key ORDER BY seq DESC)) SELECT user_key, seq FROM r WHERE n = 1 AND vtype = 0 AND below = 1")
+def kv_delete_revive(spark, d):
+    return merge.revived(src.events_log(spark, d))
+
+
+@query("SELECT coalesce(min(event_id * 10), 9223372036854775807) AS oldest FROM events WHERE event_id BETWEEN 5 AND 20 AND user_id >= 0")
+def snap_oldest(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id between 5 and 20 and user_id >= 0")
+    return levels.oldest_snapshot(e.select(F.col("event_id").alias("handle_id"), (F.col("event_id") * 10).alias("seq")))
+
+
+@query(f"WITH {LOG} SELECT count(*) AS entries, CAST(sum(strlen(user_key) + strlen(value)) AS BIGINT) AS bytes, max(seq) AS last_seq FROM log")
+def mem_stats(spark, d):
+    return levels.memtable_stats(src.events_log(spark, d))
+
+
+@query(
+    f"""WITH {LOG}, r AS (SELECT *, (seq - 1) // 1000 AS run_no FROM log), b AS (SELECT run_no, count(*) AS entries, min(user_key) AS smallest, max(user_key) AS largest FROM r GROUP BY run_no)
+    SELECT b.run_no, entries, smallest, (SELECT max(seq) FROM r WHERE r.run_no = b.run_no AND user_key = smallest) AS smallest_seq, largest, (SELECT min(seq) FROM r WHERE r.run_no = b.run_no AND user_key = largest) AS largest_seq FROM b"""
+)
+def flush_runs(spark, d):
+    return levels.run_bounds(levels.assign_runs(src.events_log(spark, d)))
+
+
+@query(
+    f"""WITH {LOG}, {FILES} SELECT CAST(l.i AS INTEGER) AS level, count(number) AS files, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS bytes, CAST(10485760 * pow(10, greatest(l.i - 1, 0)) AS BIGINT) AS byte_limit
+    FROM range(7) l(i) LEFT JOIN files ON level = l.i GROUP BY l.i"""
+)
+def level_stats(spark, d):
+    return levels.level_stats(spark, src.files(src.events_log(spark, d)))
+
+
+@query(
+    f"""WITH {LOG}, {FILES} SELECT level, CASE WHEN level = 0 THEN count(*) / 4.0::DOUBLE ELSE CAST(sum(file_size) AS DOUBLE) / (10485760 * pow(10, greatest(level - 1, 0))) END AS score FROM files GROUP BY level ORDER BY score DESC, level LIMIT 1"""
+)
+def compaction_score(spark, d):
+    return levels.compaction_score(src.files(src.events_log(spark, d)))
+
+
+@query(f"WITH {LOG}, {FILES} SELECT count(*) FILTER (level = 0) AS l0_files, count(*) FILTER (level = 0) >= 12 AS stall FROM files")
+def write_stall(spark, d):
+    return levels.must_stall(src.files(src.events_log(spark, d)))
+
+
+@query(f"WITH {LOG}, {FILES} SELECT k.user_key, level, number FROM (SELECT DISTINCT user_key FROM log) k JOIN files ON k.user_key BETWEEN smallest AND largest")
+def file_for_key(spark, d):
+    log = src.events_log(spark, d)
+    return levels.file_for_key(src.files(log), log.select("user_key").distinct())
+
+
+@query(f"WITH {LOG}, {FILES} SELECT a.number, b.number AS other FROM files a JOIN files b ON a.level = 1 AND b.level = 2 AND a.largest >= b.smallest AND a.smallest <= b.largest")
+def file_overlaps(spark, d):
+    f = src.files(src.events_log(spark, d))
+    return levels.overlaps(f.where("level = 1"), f.where("level = 2"))
+
+
+@query(
+    f"""WITH {LOG}, {FILES}, i AS (SELECT * FROM files WHERE level = 1 ORDER BY CASE WHEN largest > 'u0030' THEN 0 ELSE 1 END, smallest, number LIMIT 1),
+    e1 AS (SELECT min(smallest) lo, max(largest) hi FROM i), n AS (SELECT files.* FROM files, e1 WHERE level = 2 AND largest >= lo AND smallest <= hi),
+    e2 AS (SELECT min(smallest) lo, max(largest) hi FROM (SELECT * FROM i UNION ALL SELECT * FROM n)), g AS (SELECT files.* FROM files, e2 WHERE level = 3 AND largest >= lo AND smallest <= hi)
+    SELECT 'input' AS role, level, number, file_size FROM i UNION ALL SELECT 'next', level, number, file_size FROM n UNION ALL SELECT 'grandparent', level, number, file_size FROM g"""
+)
+def pick_inputs(spark, d):
+    return levels.pick_inputs(src.files(src.events_log(spark, d)), 1, "u0030")
+
+
+@query(
+    f"""WITH {LOG}, {FILES} SELECT a.number, CAST(coalesce(sum(b.file_size), 0) AS BIGINT) AS bytes FROM files a LEFT JOIN files b ON b.level = 3 AND a.largest >= b.smallest AND a.smallest <= b.largest WHERE a.level = 1 GROUP BY a.number"""
+)
+def grandparent_bytes(spark, d):
+    return levels.grandparent_bytes(src.files(src.events_log(spark, d)), 1)
+
+
+LIVE = """adds AS (SELECT edit_no, 0 AS level, edit_no AS number FROM edits UNION ALL SELECT edit_no, 1, edit_no + 10000 FROM edits WHERE every),
+    dels AS (SELECT edit_no, 0 AS level, edit_no - i AS number FROM edits, range(1, 5) r(i) WHERE every),
+    live AS (SELECT CAST(level AS INTEGER) AS level, number FROM adds a WHERE NOT EXISTS (SELECT 1 FROM dels d WHERE d.level = a.level AND d.number = a.number AND d.edit_no > a.edit_no))"""
+
+
+@query(f"WITH {LOG}, {EDITS}, {LIVE} SELECT level, number FROM live")
+def manifest_live_files(spark, d):
+    return manifest.live_files(src.edits(src.events_log(spark, d)))
+
+
+@query(
+    f"""WITH {LOG}, {EDITS} SELECT coalesce(arg_max(edit_no + 2, edit_no) FILTER (edit_no % 3 = 0), 0) AS log_number, arg_max(edit_no + 3, edit_no) AS next_file_number, arg_max(last_sequence, edit_no) AS last_sequence FROM edits"""
+)
+def manifest_scalars(spark, d):
+    return manifest.scalars(src.edits(src.events_log(spark, d)))
+
+
+@query(f"WITH {LOG}, {EDITS} SELECT CAST(edit_no % 3 AS INTEGER) AS level, arg_max(top, edit_no) AS user_key FROM edits WHERE every GROUP BY 1")
+def compact_pointers(spark, d):
+    return manifest.compact_pointers(src.edits(src.events_log(spark, d)))
+
+
+NAMES = "CASE event_id % 5 WHEN 0 THEN printf('%06d.log', event_id) WHEN 1 THEN printf('%06d.sst', event_id) WHEN 2 THEN printf('MANIFEST-%06d', event_id) WHEN 3 THEN 'notes-' || event_id ELSE printf('%06d.sst.bak', event_id) END"
+
+
+@query(
+    f"""WITH {LOG}, {EDITS}, {LIVE}, l AS (SELECT {NAMES} AS name, event_id AS n, event_id % 5 AS k FROM events WHERE event_id < 12000 UNION ALL SELECT 'CURRENT.dbtmp', 0, 9 UNION ALL SELECT 'CURRENT', 0, 8)
+    SELECT name FROM l WHERE (k = 1 AND n NOT IN (SELECT number FROM live)) OR (k = 0 AND n <> 5) OR (k = 2 AND n <> 7) OR k = 9"""
+)
+def obsolete_files(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 12000")
+    n = F.col("event_id")
+    name = F.when(n % 5 == 0, manifest.file_name("log", n)).when(n % 5 == 1, manifest.file_name("sst", n)).when(n % 5 == 2, manifest.file_name("manifest", n)).when(n % 5 == 3, F.concat(F.lit("notes-"), n.cast("string"))).otherwise(F.concat(manifest.file_name("sst", n), F.lit(".bak")))
+    listing = e.select(name.alias("name")).unionByName(spark.createDataFrame([("CURRENT.dbtmp",), ("CURRENT",)], "name string"))
+    live = manifest.live_files(src.edits(src.events_log(spark, d))).select(F.lit("sst").alias("kind"), "number").unionByName(spark.createDataFrame([("log", 5), ("manifest", 7)], "kind string, number long"))
+    return manifest.obsolete(listing, live)
+
+
+PIECES = """m AS (SELECT (max(event_id) + 1) * 97 // 100 AS bad FROM events),
+    pieces AS (SELECT event_id AS pos, CAST(CASE WHEN event_id % 7 = 0 THEN 2 WHEN event_id % 7 = 1 THEN 3 WHEN event_id % 7 = 2 THEN 4 WHEN event_id % 11 = 0 THEN 3 WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS TINYINT) AS rtype, event_type AS data FROM events),
+    ok AS (SELECT * FROM pieces WHERE pos < (SELECT bad FROM m))"""
+
+
+@query(f"WITH {PIECES} SELECT pos, rtype, data FROM ok")
+def wal_valid_prefix(spark, d):
+    return wal.valid_prefix(src.wal_pieces(spark, d)).select("pos", "rtype", "data")
+
+
+@query(
+    f"""WITH {PIECES}, g AS (SELECT *, max(CASE WHEN rtype <= 2 THEN pos END) OVER (ORDER BY pos) AS grp FROM ok),
+    h AS (SELECT *, first(rtype) OVER (PARTITION BY grp ORDER BY pos) AS lead, count(*) FILTER (rtype = 4) OVER (PARTITION BY grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM g WHERE grp IS NOT NULL)
+    SELECT grp AS pos, string_agg(data, '' ORDER BY h.pos) AS data FROM h WHERE rtype = 1 OR (lead = 2 AND done = 0 AND rtype > 1) GROUP BY grp HAVING bool_or(rtype IN (1, 4))"""
+)
+def wal_assemble(spark, d):
+    return wal.assemble(wal.valid_prefix(src.wal_pieces(spark, d)))
+
+
+@query(f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log) SELECT user_key, value FROM r WHERE n = 1 AND vtype = 0")
+def wal_replay(spark, d):
+    log, n = src.events_log(spark, d), src.last_seq(spark, d)
+    return versions.as_of(wal.replay(log.where(F.col("seq") <= n * 9 // 10), log.where(F.col("seq") > n * 8 // 10)))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS record, (o_orderkey * 7919) % 200000 AS length FROM orders), n AS (SELECT *, greatest(CAST(ceil(length / 32761.0) AS BIGINT), 1) AS n FROM r)
+    SELECT record, i AS piece, CAST(CASE WHEN n = 1 THEN 1 WHEN i = 1 THEN 2 WHEN i = n THEN 4 ELSE 3 END AS TINYINT) AS rtype, CAST(CASE WHEN i < n THEN 32761 ELSE length - (n - 1) * 32761 END AS BIGINT) AS length
+    FROM n, LATERAL (SELECT unnest(range(1, n + 1)) AS i)"""
+)
+def wal_split(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return wal.split_record(o.select(F.col("o_orderkey").alias("record"), (F.col("o_orderkey") * 7919 % 200000).alias("length")))
+
+
+
+@query(
+    f"""WITH {LOG}, k AS (SELECT DISTINCT user_key FROM log), b AS (SELECT greatest(64, count(*) * 10) AS want FROM k WHERE substr(user_key, 5, 1) < '5'), s AS (SELECT CAST((want + 7) // 8 * 8 AS BIGINT) AS bits FROM b),
+    h0 AS (SELECT user_key, list_reduce(list_prepend(CAST(length(user_key) AS HUGEINT), list_transform(range(1, length(user_key) + 1), lambda i: CAST(ascii(substr(user_key, i, 1)) AS HUGEINT))), lambda h, c: xor((h * 103264) & 4294967295, c)) AS h FROM k),
+    h AS (SELECT user_key, CAST((h * 2654435761) & 4294967295 AS BIGINT) AS h FROM h0),
+    p AS (SELECT user_key, ((h + i * greatest(1, h >> 17)) & 4294967295) % bits AS bit FROM h, s, range(7) r(i)),
+    f AS (SELECT DISTINCT bit FROM p WHERE substr(user_key, 5, 1) < '5')
+    SELECT user_key, bool_and(bit IN (SELECT bit FROM f)) AS maybe FROM p GROUP BY user_key"""
+)
+def bloom_probe(spark, d):
+    keys = src.events_log(spark, d).select("user_key").distinct()
+    half = keys.where(F.substring("user_key", 5, 1) < "5")
+    bits, k = bloom.shape(half.count(), 10)
+    return bloom.probe(bloom.build(half, bits, k), keys, bits, k)
+
+
+@query("SELECT user_id AS file_number, max(event_id) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC LIMIT 100")
+def lru_contents(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return levels.lru_contents(e.select(F.col("event_id").alias("access_no"), F.col("user_id").alias("file_number")), 100)
+
+
+@query(
+    f"""WITH {LOG}, r AS (SELECT (seq - 1) // 1000 AS run_no, user_key, seq FROM log), w AS (SELECT *, lag(user_key) OVER o AS b, row_number() OVER o - 1 AS i FROM r WINDOW o AS (PARTITION BY run_no ORDER BY user_key, seq DESC))
+    SELECT run_no, user_key, seq, i % 16 = 0 AS restart, CASE WHEN i % 16 = 0 THEN 0 ELSE CAST(len(list_filter(range(1, 6), lambda n: substr(user_key, 1, n) = substr(b, 1, n))) AS BIGINT) END AS shared FROM w"""
+)
+def key_shared_prefix(spark, d):
+    return encoding.key_prefixes(levels.assign_runs(src.events_log(spark, d)))
+
+
+@query("SELECT event_id, CAST(CASE WHEN x < 128 THEN 1 WHEN x < 16384 THEN 2 WHEN x < 2097152 THEN 3 WHEN x < 268435456 THEN 4 WHEN x < 34359738368 THEN 5 ELSE 6 END AS BIGINT) AS bytes FROM (SELECT event_id, event_id * event_id AS x FROM events)")
+def varint_len(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", encoding.varint_length(F.col("event_id") * F.col("event_id")).alias("bytes"))
+
+
+@query(None)
+def block_cut(spark, d):
+    runs = levels.assign_runs(src.events_log(spark, d))
+    e = runs.select("run_no", "user_key", "seq", (F.length("user_key") + F.length("value") + 12).alias("bytes"))
+    return encoding.cut(e, "run_no", ["user_key", ("seq", False)]).groupBy("run_no", "part").agg(F.count("*").alias("entries"), F.max("user_key").alias("separator"))
+
+
+@query(None)
+def output_split(spark, d):
+    log = src.events_log(spark, d)
+    e = log.select(F.lit(1).alias("job"), "user_key", "seq", (F.length("user_key") + F.length("value") + 12).alias("bytes"))
+    return encoding.cut_outputs(e, "job", 64 * 1024).groupBy("part").agg(F.count("*").alias("entries"), F.min("user_key").alias("smallest"), F.max("user_key").alias("largest"))
+
+
+@query("WITH log AS (SELECT printf('c%06d', o_custkey) AS user_key, o_orderkey + 1 AS seq, o_orderstatus = 'F' AS gone, o_orderpriority AS value FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log) SELECT user_key, value FROM r WHERE n = 1 AND NOT gone")
+def kv_latest_orders(spark, d):
+    return versions.as_of(src.orders_log(spark, d))
