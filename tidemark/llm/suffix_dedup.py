@@ -49,8 +49,8 @@ GRAM = 48
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 SLICE_BYTES = 1 << 20
 FILTER_BITS = 26
-#: A bucket with more distinct segments is counted by whole strings.
-FULL = 256
+#: A bucket with more distinct segments (over a block's bytes by then) is counted by whole strings.
+FULL = 4096
 BLOCK_BYTES = 1 << 20
 
 
