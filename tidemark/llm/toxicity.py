@@ -1,7 +1,7 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
 Training learns, for every token, the log-odds of toxic against other texts
-under an informative Dirichlet prior (the pooled counts). A text is a sequence
+under a Dirichlet prior. A text is a sequence
 of these weights; one linear scan finds its highest-scoring segment, another
 every maximal segment of significant score. Segment scores S of clean text
 follow an extreme-value law, so K * n * exp(-lambda * S) is the number of such
@@ -33,11 +33,14 @@ from .common import crc_mod
 MAX_LABELLED = 40_000
 #: At most so many token weights, those of the largest absolute z-score.
 MAX_TOKENS = 50_000
-MIN_Z = 2.5
-PRIOR = 200.0
+MIN_Z = 3.5
+#: Prior occurrences of every token, shared between the classes as their tokens are.
+PRIOR = 2.0
 #: Weight of every token that the table doesn't hold, so that chance segments stay short.
 DRIFT = -0.15
-CLIP = 4.0
+CLIP = 9.0
+#: Weights from here on count as hits.
+STRONG = 3.0
 SLICE_BYTES = 2 << 20
 PUNCT = np.zeros(256, bool)
 PUNCT[[ord(c) for c in ".,;:!?\"'()[]{}*#$%&<>|_~`^=+/\\-"]] = True
@@ -139,7 +142,7 @@ def _features(tokens: np.ndarray, weights: np.ndarray, least: float):
                 h, row, n = _tokens(part.column(0))
                 w = _weigh(h, tokens, weights)
                 s = best_segment(w, row, len(part))
-                hits = np.bincount(row, weights=w > 1.0, minlength=len(part)) if len(row) else np.zeros(len(part))
+                hits = np.bincount(row, weights=w > STRONG, minlength=len(part)) if len(row) else np.zeros(len(part))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array(n.astype(np.int64)), pa.array(hits)], names=[*part.schema.names[1:], "s", "n", "hits"])
 
     return f
@@ -161,7 +164,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def _columns(s: np.ndarray, n: np.ndarray, hits: np.ndarray, lam: float, log_k: float) -> np.ndarray:
     """log of the chance count of such a segment, negated; hits for their number and their share."""
     x = lam * s - np.log(np.maximum(n, 1)) - log_k
-    return np.column_stack([np.ones(len(s)), np.clip(x, -10, 40) / 10, np.log1p(hits), np.minimum(hits / np.maximum(n, 1) * 100, 20) / 10, np.log1p(n) / 10])
+    return np.column_stack([np.ones(len(s)), np.clip(x, -10, 10) / 10, np.clip(x - 10, 0, 40) / 10, np.log1p(hits), np.minimum(hits / np.maximum(n, 1) * 100, 20) / 10, np.log1p(n) / 10])
 
 
 def fit(documents: DataFrame, labels: DataFrame, train: "F.Column | None" = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model:
@@ -178,6 +181,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: "F.Column | None" = None
     lab = lab.withColumn("__r", F.xxhash64("__id")).orderBy("__r", "__id").limit(max_labelled)
     texts = documents.select(F.col(id_col).alias("__id"), F.col(text).alias("__t"))
     got = texts.join(F.broadcast(lab), "__id").select("__t", "__y", F.pmod("__r", F.lit(3)).alias("__f"))
+    got = got.withColumn("__h", F.xxhash64("__t")).dropDuplicates(["__h"])  # copies of one text count once
     sums = got.where("__f <> 0").select("__t", F.col("__y").cast("double")).mapInArrow(_counts, "h long, c0 long, c1 long").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     tot = sums.agg(F.coalesce(F.sum("c0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("c1"), F.lit(0)).alias("n1")).first()
     n0, n1 = float(tot.n0), float(tot.n1)
@@ -186,14 +190,14 @@ def fit(documents: DataFrame, labels: DataFrame, train: "F.Column | None" = None
     empty.prior = float(((share.m or 0) * share.n + 0.5) / (share.n + 1))
     if not n0 or not n1:
         return empty
-    a = (F.col("c0") + F.col("c1")) * (PRIOR / (n0 + n1))
-    one = lambda c, n: F.log((F.col(c) + a) / (F.lit(n + PRIOR) - F.col(c) - a))
-    scored = sums.select("h", "c0", "c1", (one("c1", n1) - one("c0", n0)).alias("d"), (1 / (F.col("c1") + a) + 1 / (F.col("c0") + a)).alias("v"))
+    a0, a1 = PRIOR * n0 / (n0 + n1), PRIOR * n1 / (n0 + n1)
+    odds = F.log((F.col("c1") + a1) / (F.lit(n1 + a1) - F.col("c1"))) - F.log((F.col("c0") + a0) / (F.lit(n0 + a0) - F.col("c0")))
+    scored = sums.select("h", "c0", "c1", odds.alias("d"), (1 / (F.col("c1") + a1) + 1 / (F.col("c0") + a0)).alias("v"))
     top = scored.withColumn("z", F.abs("d") / F.sqrt("v")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(max_tokens).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     o = np.argsort(h)
     d = top["d"].to_numpy(float) * (1 - 1 / np.maximum(top["z"].to_numpy(float), 1) ** 2)
-    tokens, weights = h[o], np.clip(d, -CLIP / 4, CLIP)[o] + DRIFT
+    tokens, weights = h[o], np.clip(d, -1.0, CLIP)[o] + DRIFT
     p0 = top["c0"].to_numpy(float)[o] / n0
     lam = _lambda(p0, weights)
     cal = got.where("__f = 0").select("__t", "__y").mapInArrow(_features(tokens, weights, 0.0), "__y int, s double, n long, hits double").toPandas()
@@ -244,7 +248,7 @@ def score(documents: DataFrame, m: Model, text: str = "text", out: str = "score"
         for i, j in T.slices(arr, SLICE_BYTES):
             h, row, n = _tokens(arr.slice(i, j - i))
             w = _weigh(h, m.tokens, m.weights)
-            hits = np.bincount(row, weights=w > 1.0, minlength=j - i) if len(row) else np.zeros(j - i)
+            hits = np.bincount(row, weights=w > STRONG, minlength=j - i) if len(row) else np.zeros(j - i)
             res.append(probability(m, best_segment(w, row, j - i), n, hits))
         return pd.Series(np.concatenate(res) if res else np.zeros(0))
 
