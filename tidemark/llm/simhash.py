@@ -116,15 +116,26 @@ _I, _J = np.triu_indices(64, 1)
 _BALL = np.concatenate([[0], _ONE, _ONE[_I] | _ONE[_J]]).astype(np.uint64)
 
 
-def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Variants of a ball in one lot; a ball of radius 1 is one lot, one of radius 2 is 33.
+LOT = 65
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint with the numbers of its ball's lots, so that balls are dealt in equal parts."""
     for b in batches:
         fp = b.column(0).to_numpy().view(np.uint64)
-        even = _parity(fp) == 0
-        for part, ball in ((fp[even], _BALL), (fp[~even], _BALL[:65])):
-            for k in range(0, len(part), 64):
-                p = part[k : k + 64]
-                if len(p):
-                    yield pa.RecordBatch.from_pydict({"v": (p[:, None] ^ ball).ravel().view(np.int64), "near": np.tile(np.arange(len(ball)) < 65, len(p)), "fp": np.repeat(p, len(ball)).view(np.int64)})
+        n = np.where(_parity(fp) == 0, -(-len(_BALL) // LOT), 1)
+        lot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_pydict({"fp": np.repeat(fp, n).view(np.int64), "lot": lot.astype(np.int64)})
+
+
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, len(b), 1024):
+            fp = b.column(0).to_numpy()[k : k + 1024].view(np.uint64)
+            at = b.column(1).to_numpy()[k : k + 1024][:, None] * LOT + np.arange(LOT)
+            who, at = np.repeat(fp, LOT)[(ok := at.ravel() < len(_BALL))], at.ravel()[ok]
+            yield pa.RecordBatch.from_pydict({"v": (who ^ _BALL[at]).view(np.int64), "near": at < 65, "fp": who.view(np.int64)})
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +161,7 @@ def links(fps: DataFrame, few: int = FEW) -> DataFrame:
     some = fuller.where(F.col("n") <= few).groupBy("key").agg(F.collect_list("fp").alias("x")).select("x").mapInArrow(_pairs, "a long, b long").where(close)
     crowd = fuller.where(F.col("n") > few).select("fp").distinct()
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ball = crowd.repartition(parts).mapInArrow(_balls, "v long, near boolean, fp long")
+    ball = crowd.mapInArrow(_lots, "fp long, lot long").repartition(parts).mapInArrow(_balls, "v long, near boolean, fp long")
     from pyspark.sql import Window as W
 
     star = ball.withColumn("c", F.min(F.when(F.col("near"), F.col("fp"))).over(W.partitionBy("v"))).where("c is not null and c <> fp").select(F.col("c").alias("a"), F.col("fp").alias("b"))
