@@ -6,11 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import DELETE, MAX_SEQ
 
-OLD_FIRST = W.partitionBy("user_key").orderBy(F.desc("seq"), "vtype")
+
+def by_age() -> WindowSpec:
+    """Versions of each key, the newest first."""
+    return W.partitionBy("user_key").orderBy(F.desc("seq"), "vtype")
 
 
 def merge(*runs: DataFrame) -> DataFrame:
@@ -25,7 +29,7 @@ def annotate(log: DataFrame, oldest: int, covered: Column | None = None) -> Data
     only where it is false. Without it every level is taken for the last one.
     The neighbour is the version before in the input, kept or not.
     """
-    newer = F.lag("seq").over(OLD_FIRST)
+    newer = F.lag("seq").over(by_age())
     base = F.lit(True) if covered is None else ~covered
     fate = F.when(F.coalesce(newer <= oldest, F.lit(False)), "superseded").when((F.col("vtype") == DELETE) & (F.col("seq") <= oldest) & base, "tombstone").otherwise("kept")
     return log.withColumn("fate", fate)
@@ -60,5 +64,5 @@ def gc_stats(log: DataFrame, oldest: int) -> DataFrame:
 
 def revived(log: DataFrame) -> DataFrame:
     """Keys whose newest version is a put right above a deletion."""
-    below = F.lead("vtype").over(OLD_FIRST)
-    return log.withColumn("__b", below).withColumn("__n", F.row_number().over(OLD_FIRST)).where((F.col("__n") == 1) & (F.col("vtype") != DELETE) & (F.col("__b") == DELETE)).select("user_key", "seq")
+    below = F.lead("vtype").over(by_age())
+    return log.withColumn("__b", below).withColumn("__n", F.row_number().over(by_age())).where((F.col("__n") == 1) & (F.col("vtype") != DELETE) & (F.col("__b") == DELETE)).select("user_key", "seq")

@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import DELETE, MAX_SEQ
 
-NEWEST = W.partitionBy("user_key").orderBy(F.desc("seq"), "vtype")
+
+def by_age() -> WindowSpec:
+    """Versions of each key, the newest first."""
+    return W.partitionBy("user_key").orderBy(F.desc("seq"), "vtype")
 
 
 def newest(log: DataFrame, seq: int = MAX_SEQ) -> DataFrame:
@@ -24,7 +28,7 @@ def newest(log: DataFrame, seq: int = MAX_SEQ) -> DataFrame:
     """
     if seq < MAX_SEQ:
         log = log.where(F.col("seq") <= seq)
-    return log.withColumn("__n", F.row_number().over(NEWEST)).where("__n = 1").drop("__n")
+    return log.withColumn("__n", F.row_number().over(by_age())).where("__n = 1").drop("__n")
 
 
 def as_of(log: DataFrame, seq: int = MAX_SEQ) -> DataFrame:
@@ -39,7 +43,7 @@ def get(log: DataFrame, key, seq: int = MAX_SEQ) -> DataFrame:
 
 def history(log: DataFrame) -> DataFrame:
     """All versions with their depth, 1 for the newest."""
-    return log.withColumn("depth", F.row_number().over(NEWEST).cast("long"))
+    return log.withColumn("depth", F.row_number().over(by_age()).cast("long"))
 
 
 def status(log: DataFrame, probes: DataFrame, seq: int = MAX_SEQ) -> DataFrame:
