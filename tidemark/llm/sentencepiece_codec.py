@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
-#: Words kept from one batch to the next, per worker.
-CACHE = 300_000
+#: Words, units and pairs kept from one batch to the next, per worker: at most twice as many of each, some 60 MB in all.
+CACHE = 100_000
+SLICE_BYTES = 512 << 10
 
 
 def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], str, bool]:
@@ -49,6 +50,26 @@ def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], str, bool]:
     return [(p.piece, p.score, p.type) for p in m.pieces], {1: "unigram", 2: "bpe"}[m.trainer_spec.model_type], m.normalizer_spec.add_dummy_prefix
 
 
+class Recent(dict):
+    """A dictionary of two generations: once full, the entries not used since the last turn go."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        got = self[key] = self.old[key]
+        return got
+
+    def lacks(self, keys) -> list:
+        return [k for k in keys if k not in self and k not in self.old]
+
+    def turn(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class Codec:
     def __init__(self, pieces: list[tuple[str, float, int]], kind: str, front: bool = True):
         self.kind, self.front = kind, front
@@ -64,8 +85,7 @@ class Codec:
             self.tails[p] = True
         self.pairs: dict[tuple[str, str], bool] = {}
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.known: dict[str, bytes] = {}
-        self.done: dict[str, bytes] = {}
+        self.known, self.done = Recent(), Recent()
         self.id_bytes: dict[str, bytes] = {}
         self.floor = min(self.score, default=0.0) - 10.0
 
@@ -104,7 +124,7 @@ class Codec:
         """Whether the merges leave the piece ``a`` followed by ``b`` as they are."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             got = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return got
@@ -181,13 +201,10 @@ class Codec:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        cut = [self.units(w) for w in words]
         known, ids = self.known, self.id_bytes
-        new = sorted({u for us in cut for u in us if u not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = sorted({u for us in cut for u in us})
-        for u, pieces in self.walk(new):
+        known.turn()
+        cut = [self.units(w) for w in words]
+        for u, pieces in self.walk(sorted(known.lacks({u for us in cut for u in us}))):
             for p in pieces:
                 if p not in ids:
                     if len(ids) > CACHE:
@@ -200,12 +217,8 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and each text's number of ids."""
         cut = [self.words(t or "") for t in texts]
-        every = {w for ws in cut for w in ws}
-        new = [w for w in every if w not in self.done]
-        if len(self.done) + len(new) > CACHE:
-            self.done.clear()
-            new = list(every)
-        self._learn(new)
+        self.done.turn()
+        self._learn(self.done.lacks({w for ws in cut for w in ws}))
         flat = [b"".join(map(self.done.__getitem__, ws)) for ws in cut]
         return np.frombuffer(b"".join(flat), np.int32), np.array([len(x) // 4 for x in flat], np.int64)
 
@@ -245,7 +258,7 @@ def encode(documents: DataFrame, keep: list[str], text: str = "text", model: str
 
         codec = _codec(shared.value)
         for b in batches:
-            for i, j in T.slices(b.column(0), 4 << 20):
+            for i, j in T.slices(b.column(0), SLICE_BYTES):
                 part = b.slice(i, j - i)
                 texts = part.column(0).to_pylist()
                 flat, n = codec.encode_batch(texts)
