@@ -53,7 +53,7 @@ def stretches(words: np.ndarray, least: int) -> list[list[int]]:
 def _lines(least: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in T.slices(b.column(0), 1 << 20):
+            for i, j in T.slices(b.column(0), 512 << 10):
                 part = b.slice(i, j - i)
                 rows, pos, lines, lens = [], [], [], []
                 counts: list[int] = []

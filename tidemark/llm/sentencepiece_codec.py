@@ -84,6 +84,7 @@ class Codec:
                 self.tails.setdefault(p[i:], False)
             self.tails[p] = True
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.made: dict[str, tuple[float, str, str] | None] = {}
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known, self.done = Recent(), Recent()
         self.id_bytes: dict[str, bytes] = {}
@@ -120,13 +121,56 @@ class Codec:
                         heappush(heap, heap.pop())
         return [s for s in sym if s is not None]
 
+    def halves(self, piece: str) -> tuple[float, str, str] | None:
+        """Rank of the piece's own merge and the two pieces it joins; rank -1 for a character, None if the merges don't make the piece."""
+        got = self.made.get(piece, 0)
+        if got == 0:
+            if len(piece) < 2:
+                got = (-1.0, piece, piece)
+            elif piece not in self.ids or self.merged(piece) != [piece]:
+                got = None
+            else:
+                # the last merge joins the only two parts that the merges themselves make and leave side by side
+                rank, top = -self.score[self.ids[piece]], self.ids[piece]
+                held, self.ids = self.ids, {k: v for k, v in self.parts(piece) if v != top}
+                a = self.merged(piece)
+                self.ids = held
+                got = (rank, a[0], a[1]) if len(a) == 2 else None
+            self.made[piece] = got
+        return got
+
+    def parts(self, piece: str) -> list[tuple[str, int]]:
+        return [(t, self.ids[t]) for i in range(len(piece)) for j in range(i + 2, len(piece) + 1) if (t := piece[i:j]) in self.ids]
+
+    def apart(self, a: str, b: str) -> bool | None:
+        """Undo merges from the join outward, the latest first: did any pair that met there join before one of its sides grew on?"""
+        x, y = self.halves(a), self.halves(b)
+        limit, tie = np.inf, False
+        while True:
+            if x is None or y is None:
+                return None
+            i = self.ids.get(a + b)
+            if i is not None and (-self.score[i] < limit or (tie and -self.score[i] == limit)):
+                return False
+            if x[0] < 0 and y[0] < 0:
+                return True
+            if x[0] > y[0]:
+                limit, tie, a = x[0], False, x[2]
+                x = self.halves(a)
+            else:  # of equal merges the left one comes first
+                limit, tie, b = y[0], True, y[1]
+                y = self.halves(b)
+
     def stable(self, a: str, b: str) -> bool:
         """Whether the merges leave the piece ``a`` followed by ``b`` as they are."""
         got = self.pairs.get((a, b))
         if got is None:
             if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            got = self.apart(a, b) if a else None
+            if got is None:
+                got = self.merged(a + b) == ([a, b] if a else [b])
+            self.pairs[a, b] = got
         return got
 
     def words(self, text: str) -> list[str]:
@@ -225,6 +269,11 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()
 
+    def forget(self) -> None:
+        """Drop what texts have left behind; the vocabulary stays."""
+        self.known, self.done = Recent(), Recent()
+        self.pairs.clear(), self.id_bytes.clear()
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.bytes.__getitem__, ids))
         if self.front and raw.startswith(b" "):
@@ -236,7 +285,7 @@ _codecs: dict[int, Codec] = {}
 
 
 def _codec(data: bytes) -> Codec:
-    """One codec for each vocabulary and worker; its words outlive the task."""
+    """One codec for each vocabulary and worker."""
     k = hash(data)
     if k not in _codecs:
         _codecs[k] = Codec(*read_model(data))
@@ -266,6 +315,7 @@ def encode(documents: DataFrame, keep: list[str], text: str = "text", model: str
                 exact = [codec.decode(flat[x:y].tolist()) == (t or "").replace(MARK, " ") for t, x, y in zip(texts, off[:-1], off[1:])]
                 ids = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(n), pa.array(exact)], names=[*part.schema.names[1:], "ids", "n_ids", "exact"])
+        codec.forget()  # a worker that lives on for other operators holds no words
 
     d = documents.select(F.col(text).alias("__text"), *keep)
     schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)

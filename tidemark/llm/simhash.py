@@ -34,7 +34,7 @@ from .components import components
 SEED = 42
 #: Variants with at most so many fingerprints are paired, fuller ones go by whole balls.
 FEW = 16
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:

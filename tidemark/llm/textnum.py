@@ -39,7 +39,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i <= n."""
     if len(_powers[0]) <= n:
-        size = max(1 << 21, 1 << (n + 1).bit_length())
+        size = max(1 << 20, 1 << (n + 1).bit_length())
         for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
             p = np.full(size, b, np.uint64)
             p[0] = 1
