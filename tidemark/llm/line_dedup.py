@@ -75,6 +75,7 @@ def _lines(least: int):
                 h[1] = T.span_hash(rev, len(raw) - off[1:], len(raw) - off[:-1], 2).view(np.int64)
                 cols = [c.take(pa.array(rows)) for c in part.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), pa.array(h[0]), pa.array(h[1]), pa.array(lens, pa.list_(pa.int32()))], names=[*part.schema.names[1:], "pos", "h1", "h2", "lens"])
+        T.trim()
 
     return f
 

@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
-#: Words, units and pairs kept from one batch to the next, per worker: at most twice as many of each, some 60 MB in all.
-CACHE = 100_000
-SLICE_BYTES = 512 << 10
+#: Words, units and pairs kept from one batch to the next, per worker: at most twice as many of each, some 120 MB in all, until the end of the task.
+CACHE = 200_000
+SLICE_BYTES = 1 << 20
 
 
 def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], str, bool]:
@@ -165,7 +165,7 @@ class Codec:
         """Whether the merges leave the piece ``a`` followed by ``b`` as they are."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) > CACHE:
                 self.pairs.clear()
             got = self.apart(a, b) if a else None
             if got is None:
@@ -316,6 +316,7 @@ def encode(documents: DataFrame, keep: list[str], text: str = "text", model: str
                 ids = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(n), pa.array(exact)], names=[*part.schema.names[1:], "ids", "n_ids", "exact"])
         codec.forget()  # a worker that lives on for other operators holds no words
+        T.trim()
 
     d = documents.select(F.col(text).alias("__text"), *keep)
     schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
