@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
-#: Words, units and pairs kept from one batch to the next, per worker: at most twice as many of each, some 120 MB in all, until the end of the task.
+#: Words, units and pairs kept from one batch to the next, per worker: at most twice as many of each, some 120 MB in all, until another operator runs.
 CACHE = 200_000
 SLICE_BYTES = 1 << 20
 
@@ -315,7 +315,8 @@ def encode(documents: DataFrame, keep: list[str], text: str = "text", model: str
                 exact = [codec.decode(flat[x:y].tolist()) == (t or "").replace(MARK, " ") for t, x, y in zip(texts, off[:-1], off[1:])]
                 ids = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(n), pa.array(exact)], names=[*part.schema.names[1:], "ids", "n_ids", "exact"])
-        codec.forget()  # a worker that lives on for other operators holds no words
+        if codec.forget not in T.held:  # the next task of this kind goes on with these words
+            T.held.append(codec.forget)
         T.trim()
 
     d = documents.select(F.col(text).alias("__text"), *keep)

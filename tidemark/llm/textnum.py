@@ -44,6 +44,19 @@ def trim() -> None:
         pass
 
 
+#: Calls that empty what an operator keeps in a worker from task to task.
+held: list = []
+
+
+def give_way() -> None:
+    """Empty other operators' caches when a task of another kind runs in the same worker."""
+    if held:
+        for f in held:
+            f()
+        held.clear()
+        trim()
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -60,6 +73,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the rows' offsets; null counts as empty."""
+    give_way()
     if col.null_count:
         col = pc.fill_null(col, "")
     col = col.cast(pa.large_string())
