@@ -73,7 +73,6 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the rows' offsets; null counts as empty."""
-    give_way()
     if col.null_count:
         col = pc.fill_null(col, "")
     col = col.cast(pa.large_string())
@@ -117,6 +116,7 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """Running sums from which :func:`span_hash` gets any span's hash."""
+    give_way()
     p, _ = powers(len(raw))
     out = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_VALUE[raw] * p[: len(raw)], out=out[1:])
