@@ -28,12 +28,13 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id; five-word shingles."""
+    """Of each group of near-duplicates, the document with the smallest id, then text hash; five-word shingles. A null id is the smallest."""
     rows = docs.withColumn("th", _text_hash())
     found = simhash.near_duplicates(rows, ["doc_id", "th"], "doc_id", width=5)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__i")).agg(F.min("th").alias("__t"))
-    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("__i")))
-    return kept.where("th = __t").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # a text stands in one group only, so id and text hash of the kept row tell the group
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "th")).alias("m")).select(F.col("m.doc_id").alias("__i"), F.col("m.th").alias("__t"))
+    kept = rows.join(best, (F.col("th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__i")))
+    return kept.dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,12 +169,15 @@ def links(fps: DataFrame, few: int = FEW) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, keep: list[str], id_col: str, text: str = "text", width: int = 3) -> DataFrame:
-    """Columns ``keep``, fp and component_id (the smallest id reachable) for every row."""
+    """Columns ``keep``, fp, root (the component's smallest fingerprint) and component_id (the smallest id reachable) for every row.
+
+    Components whose smallest ids are equal or null differ in root alone.
+    """
     docs = durable(fingerprints(documents, keep, text, width), "fps")
     nodes = durable(docs.groupBy("fp").agg(F.min_by(F.struct(id_col), F.struct(F.col(id_col).isNotNull(), F.col(id_col))).alias("m")).select("fp", F.col(f"m.{id_col}").alias("low")), "nodes")
     roots = components(links(nodes.select("fp")))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     placed = durable(placed, "placed")
     comp = placed.groupBy("root").agg(F.min_by(F.struct("low"), F.struct(F.col("low").isNotNull(), "low")).alias("m"))
-    named = placed.select("fp", "root").join(comp, "root").select(F.col("fp").alias("__fp"), F.col("m.low").alias("component_id"))
+    named = placed.select("fp", "root").join(comp, "root").select(F.col("fp").alias("__fp"), "root", F.col("m.low").alias("component_id"))
     return docs.join(named, docs.fp == named["__fp"]).drop("__fp")
