@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, sentencepiece_codec, simhash, toxicity
+from tidemark.llm import line_dedup, mixing, near_links, sentencepiece_codec, toxicity
 from tidemark.llm.common import crc_mod, durable, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,9 +28,10 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id, then text hash; five-word shingles. A null id is the smallest."""
+    """Of each group joined by a likeness of 0.8 or more in five-word shingles, the document with the smallest id, then text hash. A null id is the smallest."""
     rows = docs.withColumn("th", _text_hash())
-    found = simhash.near_duplicates(rows, ["doc_id", "th"], "doc_id", width=5)
+    linked = near_links.roots(docs).withColumnRenamed("th", "__h")
+    found = rows.select("doc_id", "th").join(linked, F.col("th") == F.col("__h"), "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
     # a text stands in one group only, so id and text hash of the kept row tell the group
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "th")).alias("m")).select(F.col("m.doc_id").alias("__i"), F.col("m.th").alias("__t"))
     kept = rows.join(best, (F.col("th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__i")))

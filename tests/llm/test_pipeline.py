@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tidemark.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +22,30 @@ def test_null_and_repeated_ids_lose_no_clean_documents(spark):
     t = [" ".join(words(rng, 60)) for _ in range(8)]
     rows = [(None, t[0]), (None, t[1]), (None, t[2]), (4, t[2]), (5, t[3]), (5, t[4]), (6, t[5]), (7, t[5]), (8, t[6]), (8, t[6])]
     assert near(spark, rows) == sorted([(None, t[0]), (None, t[1]), (None, t[2]), (5, t[3]), (5, t[4]), (6, t[5]), (8, t[6])], key=str)
+
+
+def test_near_duplicates_of_likeness_0_8_go(spark):
+    rng = random.Random(2)
+    rows = [(None, None), (1, ""), (2, " \n")]
+    for k in range(12):
+        w = words(rng, 120)
+        a, b = list(w), list(w)
+        a[40], a[80] = "xxx", "yyy"  # 10 of 126 shingles in all differ on each side: likeness 106/126
+        for i in (20, 45, 70, 95):
+            b[i] = "zzz"  # 96/136
+        rows += [(10 + 3 * k, " ".join(w)), (11 + 3 * k, " ".join(a)), (12 + 3 * k, " ".join(b))]
+    far = [(simhash.fingerprint(rows[i][1], 5) ^ simhash.fingerprint(rows[i + 1][1], 5)).bit_count() for i in range(3, len(rows), 3)]
+    assert max(far) > 3
+    assert [i for i, _ in near(spark, rows)] == sorted([None, *(10 + 3 * k for k in range(12)), *(12 + 3 * k for k in range(12))], key=str)
+
+
+def test_groups_of_texts_joined_by_no_centre(spark):
+    rng = random.Random(3)
+    w = words(rng, 200)
+    chain = []
+    for k in range(12):  # each is near to the next only
+        w = list(w)
+        for i in range(3):
+            w[(k * 3 + i) * 5 % 200] = f"q{k}x{i}"
+        chain.append((k, " ".join(w)))
+    assert near(spark, chain) == [chain[0]]
