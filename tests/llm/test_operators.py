@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, fingerprints, html_extract, line_dedup, lm_scoring, mixing, sentencepiece_codec, simhash, suffix_dedup, topk, toxicity
+from tidemark.llm import components, fingerprints, html_extract, line_dedup, lm_scoring, mixing, sentencepiece_codec, simhash, suffix_dedup, textnum, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -192,7 +192,7 @@ def test_sentencepiece(docs, texts):
 
 def test_lm_scoring(docs, texts):
     held = lm_scoring.held_out()
-    out = lm_scoring.score(docs, ~held, bits=16, common=64).select("doc_id", held.alias("h"), "*").collect()
+    out = lm_scoring.score(docs, ~held, vocabulary=64, table_bytes=1 << 14).select("doc_id", held.alias("h"), "*").collect()
     assert len(out) == len(texts)
     toks = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
     train = Counter()
@@ -201,17 +201,128 @@ def test_lm_scoring(docs, texts):
             train.update(toks[r.doc_id])
             train[None] += 1
     n, v = sum(train.values()), len(train)
+    m = lm_scoring.fit(docs.where(~held), vocabulary=64, table_bytes=1 << 14)[0]
     for r in out:
         own = [*toks[r.doc_id], None]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(train[w] > 0 for w in own), n)
         assert abs(r.base_score - sum(np.log10((train[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
-        assert r.score < 0
-
-
-def test_lm_probabilities_sum_to_one():
-    code = lm_scoring.make_code(np.array([5, 9], np.uint64), np.array([4, 2]), 3, 2, np.zeros(256, np.int64))
-    for part in (range(code.words), range(code.words, len(code.length))):
-        assert abs(sum(2.0 ** -code.length[i] for i in part) - 1) < 1e-9
+        assert abs(r.score - plain_score(m, toks[r.doc_id])) < 1e-4 * abs(r.score)
+    empty = lm_scoring.score(docs.where("false"), ~held)
+    assert empty.count() == 0
+    none = lm_scoring.score(docs.where("doc_id < 6"), F.lit(False)).collect()
+    assert len(none) == 6 and all(r.n_known == 0 and r.score < 0 for r in none)
+
+
+M64 = (1 << 64) - 1
+
+
+def mix64(x):
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & M64
+    return x ^ x >> 32
+
+
+def plain_score(m, toks):
+    """log10 probability of a text, symbol by symbol and bit by bit."""
+    v = m.v
+    by_key = {int(k): int(s) for k, s in zip(v.keys, v.symbol)}
+
+    def word_hash(w):
+        raw = np.frombuffer(w, np.uint8)
+        return int(textnum.span_hash(textnum.prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
+
+    def look(table, ctx, node):
+        x = (ctx + node * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & M64
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & M64
+        x ^= x >> 29
+        at = x >> 64 - ((len(table) - 1).bit_length() - 1)
+        return table[at] if table[at, 0] == x & 255 | 1 else table[-1]
+
+    logit = lambda q: 0.0 if q < 64 else (int(q) % 64 - 32) / 4
+    hashes = [word_hash(w) for w in toks]
+    syms = [by_key.get(h, v.escape) for h in hashes] + [v.end]
+    nats, scale, block, grad, bits = 0.0, [1.0] * 5, 0, [0.0] * 5, 0
+    one = two = 1
+    common, seen = 0, {}
+    spelled = []
+    for i, s in enumerate(syms):
+        k = int(np.log2(i // lm_scoring.BLOCK + 1))
+        if k != block:
+            scale = [a + max(-0.25, min(0.25, lm_scoring.RATE * g / max(bits, 1) ** 0.5)) for a, g in zip(scale, grad)]
+            block, grad, bits = k, [0.0] * 5, 0
+        ctx = [mix64(common + 101) >> 22, mix64(one + 7) >> 22, mix64((one * 0x9E3779B97F4A7C15 & M64) + (two ^ 0x5851F42D4C957F2D) & M64) >> 22]
+        runs = []
+        for t, c in ((m.tables[1], ctx[1]), (m.tables[2], ctx[2])):
+            x = int(t[c >> 42 - (len(t).bit_length() - 1)])
+            runs.append([x & (1 << 21) - 1, x >> 21 & 7 if x >> 24 == c & 255 else 0])
+        runs.append([seen.get(ctx[2], -1), int(ctx[2] in seen)])
+        seen[ctx[2]] = s
+        node, d = v.words.root, 0
+        while node >= 0:
+            if d % 4 == 0:
+                bucket, nib = look(m.tables[0], ctx[0], node), 1
+            q, bit = int(bucket[nib]), int(s >= node)
+            gate = (runs[0][1] + 4 * runs[1][1] + 16 * runs[2][1]) * 4 + (q >> 6) + 128 * ((d > 0) + (d > 3))
+            f = [float(v.words.own[node]), logit(q)] + [(1 if p >= node else -1) if c else 0 for p, c in runs]
+            terms = [a * float(w) * (1 if bit else -1) for a, w in zip(f, m.word_weights[gate])]
+            x = sum(a * b for a, b in zip(terms, scale))
+            nats += np.log1p(np.exp(-x))
+            grad = [g + (1 - 1 / (1 + np.exp(-x))) * a for g, a in zip(grad, terms)]
+            runs = [[p, c if (p >= node) == bool(bit) else 0] for p, c in runs]
+            node, nib, d, bits = int(v.words.child[2 * node + bit]), 2 * nib + bit, d + 1, bits + 1
+        if i < len(toks) and hashes[i] not in by_key:
+            spelled.append((toks[i], common))
+        two, one = one, hashes[i] if i < len(toks) else 0
+        if v.common[s]:
+            common = int(v.common[s])
+    for w, com in spelled:
+        for j in range(len(w) + 1):
+            b = [w[j - k] if j >= k else 32 for k in (1, 2, 3)]
+            pair = b[0] | b[1] << 8
+            run = 0
+            for k in range(j):
+                run = run + int(textnum.BYTE_VALUE[w[k]]) * pow(textnum.BASE, k, 1 << 64) & M64
+            ctx = [mix64(x) >> 22 for x in (pair | b[2] << 16 | 1 << 40, run ^ 0xA0761D6478BD642F, pair | com << 16 | min(j, 3) << 32 | 1 << 41)]
+            s = int(v.byte_symbol[w[j] if j < len(w) else 32])
+            node, d = v.bytes.root, 0
+            while node >= 0:
+                if d % 4 == 0:
+                    buckets, nib = [look(m.tables[3], c, node) for c in ctx], 1
+                q, bit = [int(x[nib]) for x in buckets], int(s >= node)
+                gate = (q[0] >> 6) + 4 * (q[1] >> 6) + 16 * (q[2] >> 6)
+                x = sum(a * float(u) for a, u in zip([float(v.bytes.own[node]), *map(logit, q)], m.byte_weights[gate])) * (1 if bit else -1)
+                nats += np.log1p(np.exp(-x))
+                node, nib, d = int(v.bytes.child[2 * node + bit]), 2 * nib + bit, d + 1
+    return -nats / np.log(10)
+
+
+def test_lm_beats_the_unigram_base_on_held_out_texts(spark):
+    rng = random.Random(8)
+    vocab = [words(rng, 1) + str(i) for i in range(400)]
+    after = {w: rng.sample(vocab, 6) for w in vocab}
+    rows = []
+    for i in range(400):
+        w = [rng.choice(vocab)]
+        for _ in range(120):
+            w.append(rng.choice(after[w[-1]]) if rng.random() < 0.9 else rng.choice(vocab))
+        rows.append((i, " ".join(w) + f" new{rng.random()}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.score(df, ~lm_scoring.held_out()).where(lm_scoring.held_out()).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_lm_tree_and_tables():
+    rng = np.random.default_rng(3)
+    t = lm_scoring.tree(np.sort(rng.integers(1, 1000, 77))[::-1])
+    assert abs(sum(2.0 ** -t.depth.astype(float)) - 1) < 1e-9 and sorted(x for x in t.child if x >= 0) + [t.root] != []
+    assert lm_scoring.tree(np.array([5])).root == -1
+    keys = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
+    k, c = lm_scoring._unpack(lm_scoring._pack(keys, np.arange(50)))
+    assert (k == keys).all() and (c == np.arange(50)).all()
+    key = lambda c, s: np.uint64(c << 22 | s)
+    keys, counts = np.array([key(1, 5), key(1, 6), key(2, 4), key(3, 7), key(4, 1), key(4, 2)], np.uint64), np.array([3, 1, 1, 2, 1, 1])
+    ctx, packed, total = lm_scoring._successors(keys, counts)
+    assert ctx.tolist() == [1, 3] and total.tolist() == [4, 2] and [int(x) & (1 << 21) - 1 for x in packed] == [5, 7] and [int(x) >> 21 & 7 for x in packed] == [1, 2]
 
 
 def test_toxicity(spark):
