@@ -173,6 +173,29 @@ def test_mixing(docs, texts):
     assert ((q > 0) & (q < 1)).sum() <= 2 and abs(q.sum() - p.sum()) < 1e-6 and abs(q @ x - p @ x) < 1e-3
 
 
+@pytest.mark.parametrize("times", [1, 2, 8])
+def test_mixing_repeated_rows_meet_their_targets(spark, times):
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randint(1, 60)), rng.choice(["a", "b", "c", None])) for i in range(400)]
+    df = spark.createDataFrame([r for r in rows for _ in range(times)], "doc_id long, text string, source string").withColumn("src", F.lit("x")).withColumn("k", F.lit(1))
+    got = mixing.taken(df, group=64).collect()
+    assert len(got) == 400 * times
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.taken(df.repartition(7), group=64).collect()))
+    size, took, due = Counter(), Counter(), {}
+    by_id = {i: s for i, _, s in rows}
+    for r in got:
+        s = by_id[r.doc_id]
+        size[s] += r.size
+        took[s] += r.taken
+        due[s] = r.target
+        assert r.taken <= 2 * r.size
+    want = mixing.targets(list(size.items()))
+    for s in size:
+        assert abs(due[s] - want[s]) < 1e-6
+        assert abs(took[s] - due[s]) <= max(0.01 * due[s], 60)
+    assert mixing.taken(df.where("false")).count() == 0
+
+
 def test_sentencepiece(docs, texts):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     got = {r.doc_id: r for r in sentencepiece_codec.encode(docs, ["doc_id"]).collect()}

@@ -12,9 +12,11 @@ times smaller than the one before, until one group of each source is left. Its
 last two documents are landed at random, keeping the expectation.
 
 Null and empty texts have size 0: they are balanced by the document total
-alone. A null source is a source of its own, last in order. Repeated ids are
-rows of their own; rows with the same id and text share one decision. Reruns
-agree, since all choices come from hashes. An empty table gives an empty
+alone. A very long text is a document like others. A null source is a
+source of its own, last in order. Repeated ids are rows of their own. Rows with
+the same id, source and text are counted, then numbered from 0, so that each has
+a decision of its own, however many there are. Ties can't arise: all choices come
+from hashes of these values, so reruns agree. An empty table gives an empty
 result. Extra columns are ignored.
 """
 
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, word_pattern
+from .common import durable, shuffle_partitions, word_pattern
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -89,7 +91,7 @@ def _null(a: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc", "h2"], kind="stable")
+        pdf = pdf.sort_values(["h", "h2", "k"], kind="stable")
         rng = np.random.default_rng(int(pdf["h"].iloc[0]) & (2**63 - 1))
         p = flight(pdf["p"].to_numpy(float), np.column_stack([pdf["size"].to_numpy(float), np.ones(len(pdf))]), rng)
         if last:
@@ -100,41 +102,46 @@ def _fly(last: bool):
 
 
 def mix(documents: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, group: int = GROUP) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row.
+    """doc_id, src, size, source_size, target, copies, h2 (hash of the text) for every row.
 
     The driver gets one row for each source (names and totals); a table of
     millions of sources would need the targets joined instead.
     """
-    base = documents.select(F.col(id_col).alias("doc"), F.col(source).alias("src"), size_of(text).alias("size"), F.xxhash64(F.lit(17), F.col(id_col)).alias("h"), F.xxhash64(F.lit(23), F.coalesce(F.col(text), F.lit(""))).alias("h2"))
-    base = durable(base, "sizes")
-    stats = base.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    due = targets([(r.src, int(r.s)) for r in stats], weights, share, limit)
     spark = documents.sparkSession
+    base = documents.select(F.col(id_col).alias("doc"), F.col(source).cast("string").alias("src"), size_of(text).alias("size"), F.xxhash64(F.lit(17), F.col(id_col)).alias("h"), F.xxhash64(F.lit(23), F.coalesce(F.col(text), F.lit(""))).alias("h2"))
+    base = durable(base.groupBy("doc", "src", "size", "h", "h2").agg(F.count("*").alias("rows")), "sizes")
+    stats = base.groupBy("src").agg(F.sum(F.col("size") * F.col("rows")).alias("s"), F.sum("rows").alias("n")).collect()
+    due = targets([(r.src, int(r.s)) for r in stats], weights, share, limit)
     ratio = spark.createDataFrame([(r.src, int(r.s), float(due[r.src]), float(due[r.src] / r.s) if r.s else 0.0, int(r.n)) for r in stats], "src string, source_size long, target double, q double, n long")
-    rows = base.join(F.broadcast(ratio) if len(stats) <= 100_000 else ratio, base.src.eqNullSafe(ratio.src)).drop(ratio.src)
+    # equal rows by number, a stretch of a group's size at a time, so that no task makes all rows of a large group
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(group).cast("long")))
+    rows = base.withColumn("k0", first).repartition(shuffle_partitions(spark), "h", "h2", "k0")
+    rows = rows.withColumn("k", F.explode(F.sequence("k0", F.least(F.col("k0") + (group - 1), F.col("rows") - 1)))).drop("k0", "rows")
+    rows = rows.join(F.broadcast(ratio) if len(stats) <= 100_000 else ratio, rows.src.eqNullSafe(ratio.src)).drop(ratio.src)
     rows = rows.withColumn("p", F.col("q") - F.floor("q"))
+    open_ = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
     most = max([r.n for r in stats], default=0)
-    cols = "doc long, src string, size long, h long, h2 long, n long, p double"
-    state = rows.where((F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)).select("doc", "src", "size", "h", "h2", "n", "p")
-    settled: DataFrame | None = None
-    level = 0
+    cols = ["doc", "src", "size", "h", "h2", "k", "n", "p"]
+    state = rows.where(open_).select(*cols)
+    schema, settled, level = state.schema, None, 0
     while True:
         groups = -(-most // group)
         last = groups <= 1
         # a source's groups shrink with its own number of documents, two of each group stay open
         n_here = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(group))).cast("long")
-        cell = F.pmod(F.xxhash64(F.lit(31 + level), F.col("h"), F.col("h2")), n_here)
-        moved = durable(state.groupBy("src", cell.alias("cell")).applyInPandas(_fly(last), cols), "flight")
+        cell = F.pmod(F.xxhash64(F.lit(31 + level), F.col("h"), F.col("h2"), F.col("k")), n_here)
+        moved = durable(state.groupBy("src", cell.alias("cell")).applyInPandas(_fly(last), schema), "flight")
         done = moved if last else moved.where((F.col("p") <= 0) | (F.col("p") >= 1))
         settled = done if settled is None else settled.unionByName(done)
         if last:
             break
         state = moved.where((F.col("p") > 0) & (F.col("p") < 1)).withColumn("n", 2 * n_here)
         most, level = 2 * groups, level + 1
-    extra = settled.where("p >= 0.5").groupBy("doc", "h2").agg(F.first("p").alias("one"))
-    out = rows.join(extra, rows.doc.eqNullSafe(extra.doc) & (rows.h2 == extra.h2), "left")
-    copies = F.floor(F.col("q") + 1e-9).cast("long") + F.when(F.col("one").isNotNull() & (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9), 1).otherwise(0)
-    return out.select(rows.doc.alias("doc_id"), "src", "size", "source_size", "target", copies.cast("long").alias("copies"), rows.h2.alias("h2"))
+    extra = settled.where("p >= 0.5").select(F.col("doc").alias("__d"), F.col("src").alias("__s"), F.col("h2").alias("__h"), F.col("k").alias("__k"))
+    same = rows.doc.eqNullSafe(F.col("__d")) & rows.src.eqNullSafe(F.col("__s")) & (rows.h2 == F.col("__h")) & (rows.k == F.col("__k"))
+    out = rows.join(extra.hint("merge"), same, "left")
+    copies = F.floor(F.col("q") + 1e-9).cast("long") + F.when(F.col("__k").isNotNull() & open_, 1).otherwise(0)
+    return out.select(F.col("doc").alias("doc_id"), "src", "size", "source_size", "target", copies.cast("long").alias("copies"), "h2")
 
 
 def taken(documents: DataFrame, **options) -> DataFrame:
