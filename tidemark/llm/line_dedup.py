@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textnum as T
 from .common import durable, forget
 
-MIN_WORDS = 20
+MIN_WORDS = 8
 
 
 def stretches(words: np.ndarray, least: int) -> list[list[int]]:
@@ -99,45 +99,54 @@ def ranked(distinct: DataFrame, cols: list[str], name: str) -> DataFrame:
 
 
 def _named(state: DataFrame, cols: list[str]) -> DataFrame:
-    """Rank suffixes by ``cols``; those alone in their interval go."""
+    """Rank suffixes by ``cols``; those alone in their interval go.
+
+    Both sides of the join are read from files and merged at every size: a
+    line that stands very often is a skewed partition, which Spark splits.
+    """
     many = state.groupBy(*cols).agg(F.count("*").alias("__c")).where("__c > 1").drop("__c")
-    return state.join(ranked(many, cols, "rank"), cols)
+    return state.join(ranked(many, cols, "rank").hint("merge"), cols)
 
 
 def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """id, th (hash of the text), gone: sorted places of deleted lines among the non-blank ones, for documents that have any."""
     rows = documents.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")).where("t <> ''")
     kind = rows.schema["id"].dataType.simpleString()
+    spark = documents.sparkSession
     lines = durable(rows.mapInArrow(_lines(min_words), f"id {kind}, th long, pos int, h1 long, h2 long, lens array<int>"), "lines")
-    me = ["id", "th", "pos"]
+    me, key = ["id", "th", "pos"], ["len", "rank", "tail"]
     state = durable(_named(lines, ["h1", "h2"]).select(*me, "lens", "rank"), "level")
+    forget(spark, lines)
     wins: DataFrame | None = None
+    levels = []
     k = 1
     place = W.partitionBy("id", "th").orderBy("pos")
     while True:
         # stretches of k to 2k-1 lines: the ranks of their first and of their last k lines tell them apart
-        w = state.select(*me, "rank", F.explode(F.filter("lens", lambda x: (x >= k) & (x < 2 * k))).alias("len"))
+        w = state.select(*me, "rank", F.explode(F.filter("lens", lambda x: x < 2 * k)).alias("len"))
         if k == 1:
             w = w.withColumn("tail", F.col("rank"))
         else:
             tail = state.select("id", "th", F.col("pos").alias("__q"), F.col("rank").alias("tail")).distinct()
             w = w.withColumn("__q", F.col("pos") + F.col("len") - k)
-            w = w.join(tail, w.id.eqNullSafe(tail.id) & (w.th == tail.th) & (w["__q"] == tail["__q"])).drop(tail.id, tail.th, tail["__q"]).drop("__q")
-        w = w.select(*me, "len", "rank", "tail")
-        wins = w if wins is None else wins.unionByName(w)
-        longer = F.exists("lens", lambda x: x >= 2 * k)
-        if not state.where(longer).limit(1).count():
+            w = w.join(tail.hint("merge"), w.id.eqNullSafe(tail.id) & (w.th == tail.th) & (w["__q"] == tail["__q"])).drop(tail.id, tail.th, tail["__q"]).drop("__q")
+        levels.append(durable(w.select(*me, *key), "stretches"))
+        wins = levels[-1] if wins is None else wins.unionByName(levels[-1])
+        longer = F.filter("lens", lambda x: x >= 2 * k)
+        if not state.where(F.size(longer) > 0).limit(1).count():
             break
         after = F.max("rank").over(place.rangeBetween(k, k))
-        state = state.withColumn("rank2", after).where("rank2 is not null").withColumnRenamed("rank", "rank1")
-        state = durable(_named(state, ["rank1", "rank2"]).select(*me, "lens", "rank"), "level")
+        grown = state.select(*me, longer.alias("lens"), "rank", after.alias("rank2")).where("rank2 is not null").withColumnRenamed("rank", "rank1")
+        last, state = state, durable(_named(grown, ["rank1", "rank2"]).select(*me, "lens", "rank"), "level")
+        forget(spark, last)
         k *= 2
-    key = ["len", "rank", "tail"]
     order = F.struct(F.col("id").isNotNull().alias("x"), F.col("id"), F.col("th"), F.col("pos"))
-    first = wins.groupBy(*key).agg(F.min(order).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
-    late = wins.join(first, key).where(F.col("f") < order)
+    first = durable(wins.groupBy(*key).agg(F.min(order).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"), "firsts")
+    late = wins.join(first.hint("merge"), key).where(F.col("f") < order)
     gone = late.select("id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("len") - 1)).alias("g"))
-    return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("g")).alias("gone"))
+    gone = durable(gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("g")).alias("gone")), "gone")
+    forget(spark, state, first, *levels)
+    return gone
 
 
 def _without(text: str, gone) -> tuple[str, int]:
@@ -155,9 +164,10 @@ def _without(text: str, gone) -> tuple[str, int]:
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The table with later copies of repeated runs cut out of ``text``, and __lines, __gone: non-blank lines, deleted ones."""
     gone = repeated_lines(documents, id_col, text, min_words)
-    gone = durable(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__g")), "gone")
+    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__g"))
     d = documents.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    d = d.join(gone, F.col(id_col).eqNullSafe(gone["__id"]) & (F.col("__h") == gone["__th"]), "left")
+    # a merge join at every size: what goes grows with the corpus
+    d = d.join(gone.hint("merge"), F.col(id_col).eqNullSafe(gone["__id"]) & (F.col("__h") == gone["__th"]), "left")
 
     @F.pandas_udf("struct<t:string, n:int>")
     def cut(t: pd.Series, g: pd.Series) -> pd.DataFrame:
