@@ -40,11 +40,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, up to twice."""
-    m = mixing.mix(docs).groupBy(F.col("doc_id").alias("__i"), "h2").agg(F.max("copies").alias("copies"))
+    m = mixing.mix(docs).groupBy(F.col("doc_id").alias("__i"), F.col("src").alias("__s"), "h2").agg(F.sum("copies").alias("copies"))
     m = durable(m.where("copies > 0"), "mix")
-    rows = docs.withColumn("h", _text_hash()).withColumn("__h2", F.xxhash64(F.lit(23), F.coalesce(F.col("text"), F.lit(""))))
-    kept = rows.join(m, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__h2") == F.col("h2")))
-    return kept.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    # of rows that share id, source and text one stands for the copies of all
+    rows = docs.dropDuplicates(["doc_id", "source", "text"]).withColumn("__h2", F.xxhash64(F.lit(23), F.coalesce(F.col("text"), F.lit(""))))
+    kept = rows.join(m.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__i")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__h2") == F.col("h2")))
+    return kept.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
