@@ -1,18 +1,23 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
 Training learns, for every token, the log-odds of toxic against other texts
-under a Dirichlet prior. A text is a sequence
-of these weights; one linear scan finds its highest-scoring segment, another
-every maximal segment of significant score. Segment scores S of clean text
-follow an extreme-value law, so K * n * exp(-lambda * S) is the number of such
-segments expected by chance in a text of n tokens; lambda is the root of
+under a Dirichlet prior. A text is a sequence of these weights; one linear scan
+finds every maximal-scoring segment. Segment scores S of clean text follow an
+extreme-value law, so K * n * exp(-lambda * S) is the number of such segments
+expected by chance in a text of n tokens; lambda is the root of
 sum(p * exp(lambda * s)) = 1 over clean tokens, K is fitted by moments. A
-logistic curve over that calibrated score gives the probability of the label.
-
-Null and empty texts have no segment and get the score of S = 0. Labels that
-are null don't train; repeated labels of one id count as their largest. With
-no labelled rows, or of one class only, every score is the smoothed share of
-toxic labels. Extra columns are ignored.
+segment is significant if fewer than one is expected; the calibrated scores of
+all significant segments are summed, and a logistic curve over this sum and the
+best segment's score gives the probability of the label. Weights that calibrate
+a labelled text come from other texts (three folds by hash of the text).
+
+Null and empty texts have no segment and get the score of S = 0. A very long
+text is scanned whole, and its expected number of chance segments grows with
+it. Labels that are null don't train; repeated labels of one id count as their
+largest, and so do labels of equal texts, which train once. Texts that tie have
+equal scores, whatever their ids. Repeated rows are scored each. With no
+labelled rows, or of one class only, every score is the smoothed share of toxic
+labels. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,20 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as T
-from .common import crc_mod
+from .common import crc_mod, durable
 
 #: At most so many labelled texts train, those with the smallest hash of the id.
 MAX_LABELLED = 40_000
-#: At most so many token weights, those of the largest absolute z-score.
-MAX_TOKENS = 50_000
-MIN_Z = 3.5
+#: Tokens with a weight have a z-score of so much in some fold.
+MIN_Z = 3.0
+FOLDS = 3
 #: Prior occurrences of every token, shared between the classes as their tokens are.
 PRIOR = 2.0
 #: Weight of every token that the table doesn't hold, so that chance segments stay short.
 DRIFT = -0.15
 CLIP = 9.0
-#: Weights from here on count as hits.
-STRONG = 3.0
 SLICE_BYTES = 512 << 10
 PUNCT = np.zeros(256, bool)
 PUNCT[[ord(c) for c in ".,;:!?\"'()[]{}*#$%&<>|_~`^=+/\\-"]] = True
@@ -68,38 +71,16 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return T.span_hash(T.prefix_hash(raw), s, e), row, np.bincount(row, minlength=len(off) - 1) if len(row) else np.zeros(len(off) - 1, np.int64)
 
 
-def best_segment(w: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """Highest sum of consecutive weights in each row, 0 at least: the largest rise of the running sum."""
-    if not len(w):
-        return np.zeros(n_rows)
-    run = np.cumsum(w)
-    lift = np.abs(w).sum() + 1.0
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    ahead = run - w  # the sum before each token
-    # a later row's sums lie below all of an earlier row's, so one running minimum serves all rows
-    low = np.minimum.accumulate(ahead - row * (2 * lift)) + row * (2 * lift)
-    rise = run - low
-    out = np.zeros(n_rows)
-    at = np.flatnonzero(first)
-    out[row[at]] = np.maximum(np.maximum.reduceat(rise, at), 0)
-    return out
-
-
-def maximal_segments(w: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """All disjoint maximal-scoring segments with a score of ``least`` or more, in linear time.
+def _joined(at: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, float]]:
+    """Maximal-scoring segments from the positive tokens of one row: their places, and the running sum before and after each.
 
     A stack holds candidates with the running sum at their start and end; a
     new positive token joins back to the nearest candidate that starts lower,
     if that one also ends lower.
     """
     stack: list[list] = []
-    run = 0.0
-    for i, x in enumerate(w):
-        before, run = run, run + float(x)
-        if x <= 0:
-            continue
-        new = [i, i + 1, before, run]
+    for i, lo, hi in zip(at.tolist(), before.tolist(), after.tolist()):
+        new = [i, i + 1, lo, hi]
         while stack:
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= new[2]:
@@ -112,19 +93,26 @@ def maximal_segments(w: np.ndarray, least: float) -> list[tuple[int, int, float]
         else:
             new.append(-1)
         stack.append(new)
-    return [(a, b, hi - lo) for a, b, lo, hi, _ in stack if hi - lo >= least]
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in stack]
+
+
+def maximal_segments(w: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """All disjoint maximal-scoring segments of one sequence with a score of ``least`` or more, in linear time."""
+    _, first, end, score_ = segments(np.asarray(w, float), np.zeros(len(w), np.int64), 1)
+    return [(int(a), int(b), float(v)) for a, b, v in zip(first, end, score_) if v >= least]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        y = b.column(1).to_numpy(zero_copy_only=False)
+        y, fold = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
         for i, j in T.slices(b.column(0), SLICE_BYTES):
             h, row, _ = _tokens(b.column(0).slice(i, j - i))
-            u, inv = np.unique(h, return_inverse=True)
-            lab = y[i:j][row]
-            c1 = np.bincount(inv, weights=lab, minlength=len(u)).astype(np.int64)
-            c = np.bincount(inv, minlength=len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"h": u.view(np.int64), "c0": c - c1, "c1": c1})
+            for k in np.unique(fold[i:j]):
+                own = fold[i:j][row] == k
+                u, inv = np.unique(h[own], return_inverse=True)
+                c1 = np.bincount(inv, weights=y[i:j][row[own]], minlength=len(u)).astype(np.int64)
+                c = np.bincount(inv, minlength=len(u)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"h": u.view(np.int64), "f": np.full(len(u), k, np.int32), "c0": c - c1, "c1": c1})
 
 
 def _weigh(h: np.ndarray, tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -134,16 +122,47 @@ def _weigh(h: np.ndarray, tokens: np.ndarray, weights: np.ndarray) -> np.ndarray
     return np.where(tokens[at] == h, weights[at], DRIFT)
 
 
-def _features(tokens: np.ndarray, weights: np.ndarray, least: float):
+def segments(w: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first token, end token (both counted in the row) and score of every maximal segment, found from the tokens of positive weight."""
+    run = np.cumsum(w)
+    at = np.flatnonzero(w > 0)
+    start = np.searchsorted(row, np.arange(n_rows))
+    out: list[tuple[int, int, int, float]] = []
+    heads = np.flatnonzero(np.concatenate([[True], row[at][1:] != row[at][:-1]])) if len(at) else at
+    for a, z in zip(heads, np.append(heads[1:], len(at))):
+        i = at[a:z]
+        r = int(row[i[0]])
+        out += [(r, x - int(start[r]), y - int(start[r]), v) for x, y, v in _joined(i, run[i] - w[i], run[i])]
+    if not out:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    r, x, y, v = zip(*out)
+    return np.array(r), np.array(x), np.array(y), np.array(v)
+
+
+def _scan(m: "Model", weights: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Best segment's score, sum of the calibrated scores of significant segments, tokens of each text; the segments."""
+    h, row, n = _tokens(texts)
+    found = segments(_weigh(h, m.tokens, weights), row, len(texts))
+    best = np.zeros(len(texts))
+    np.maximum.at(best, found[0], found[3])
+    x = m.lam * found[3] - np.log(np.maximum(n[found[0]], 1)) - m.log_k
+    return best, np.bincount(found[0], weights=np.maximum(x, 0), minlength=len(texts)).astype(float), n, (*found, x)
+
+
+def _calibration(m: "Model", folds: list[np.ndarray]):
+    """Best scores and tokens of labelled texts, each by the weights of the other folds; then the sums."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in T.slices(b.column(0), SLICE_BYTES):
-                part = b.slice(i, j - i)
-                h, row, n = _tokens(part.column(0))
-                w = _weigh(h, tokens, weights)
-                s = best_segment(w, row, len(part))
-                hits = np.bincount(row, weights=w > STRONG, minlength=len(part)) if len(row) else np.zeros(len(part))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s), pa.array(n.astype(np.int64)), pa.array(hits)], names=[*part.schema.names[1:], "s", "n", "hits"])
+            fold = b.column(2).to_numpy()
+            for k in range(FOLDS):
+                part = b.filter(pa.array(fold == k))
+                for i, j in T.slices(part.column(0), SLICE_BYTES):
+                    own = part.slice(i, j - i)
+                    s, _, n, found = _scan(m, folds[k], own.column(0))
+                    order = np.argsort(found[0], kind="stable")
+                    off = np.concatenate([[0], np.cumsum(np.bincount(found[0], minlength=j - i))]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([own.column(1), pa.array(s), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(found[3][order]))], names=["y", "s", "n", "all"])
 
     return f
 
@@ -161,52 +180,60 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return b
 
 
-def _columns(s: np.ndarray, n: np.ndarray, hits: np.ndarray, lam: float, log_k: float) -> np.ndarray:
-    """log of the chance count of such a segment, negated; hits for their number and their share."""
-    x = lam * s - np.log(np.maximum(n, 1)) - log_k
-    return np.column_stack([np.ones(len(s)), np.clip(x, -10, 10) / 10, np.clip(x - 10, 0, 40) / 10, np.log1p(hits), np.minimum(hits / np.maximum(n, 1) * 100, 20) / 10, np.log1p(n) / 10])
+def _columns(best: np.ndarray, total: np.ndarray, n: np.ndarray, lam: float, log_k: float) -> np.ndarray:
+    """The best segment's calibrated score, in two pieces, and the sum over significant segments."""
+    x = lam * best - np.log(np.maximum(n, 1)) - log_k
+    return np.column_stack([np.ones(len(best)), np.clip(x, -10, 10) / 10, np.clip(x - 10, 0, 40) / 10, np.log1p(total)])
 
 
-def fit(documents: DataFrame, labels: DataFrame, train: "F.Column | None" = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, train: "F.Column | None" = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from labelled rows that meet ``train`` (a condition on the id column).
 
-    Two thirds of them give token counts, one third calibrates. At most
-    ``max_labelled`` labels and ``max_tokens`` weights, 16 bytes each, are
-    broadcast or sent to the driver.
+    ``max_labelled`` labels at most are broadcast; the driver gets the weights
+    of tokens of these texts, 64 bytes each, and their segments' scores.
     """
     lab = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         lab = lab.where(train)
     lab = lab.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label)).cast("int").alias("__y"))
-    lab = lab.withColumn("__r", F.xxhash64("__id")).orderBy("__r", "__id").limit(max_labelled)
+    lab = lab.withColumn("__r", F.xxhash64("__id")).orderBy("__r", "__id").limit(max_labelled).drop("__r")
     texts = documents.select(F.col(id_col).alias("__id"), F.col(text).alias("__t"))
-    got = texts.join(F.broadcast(lab), "__id").select("__t", "__y", F.pmod("__r", F.lit(3)).alias("__f"))
-    got = got.withColumn("__h", F.xxhash64("__t")).dropDuplicates(["__h"])  # copies of one text count once
-    sums = got.where("__f <> 0").select("__t", F.col("__y").cast("double")).mapInArrow(_counts, "h long, c0 long, c1 long").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    tot = sums.agg(F.coalesce(F.sum("c0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("c1"), F.lit(0)).alias("n1")).first()
-    n0, n1 = float(tot.n0), float(tot.n1)
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0, np.zeros(0), 0.5)
+    got = texts.join(F.broadcast(lab), "__id").groupBy(F.xxhash64("__t").alias("__h")).agg(F.first("__t").alias("__t"), F.max("__y").alias("__y"))
+    got = durable(got.select("__t", "__y", F.pmod(F.col("__h"), F.lit(FOLDS)).cast("int").alias("__f")), "labelled")
     share = lab.agg(F.avg("__y").alias("m"), F.count("*").alias("n")).first()
-    empty.prior = float(((share.m or 0) * share.n + 0.5) / (share.n + 1))
-    if not n0 or not n1:
+    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0, np.zeros(0), float(((share.m or 0) * share.n + 0.5) / (share.n + 1)))
+    sums = got.select("__t", F.col("__y").cast("double"), "__f").mapInArrow(_counts, "h long, f int, c0 long, c1 long")
+    per = [F.sum(F.when(F.col("f") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(FOLDS) for c in ("c0", "c1")]
+    sums = durable(sums.groupBy("h").agg(F.sum("c0").alias("c0_a"), F.sum("c1").alias("c1_a"), *per), "counts")
+    names = ["a", *map(str, range(FOLDS))]
+    tot = sums.agg(*(F.coalesce(F.sum(f"{c}_{k}"), F.lit(0)).alias(f"{c}_{k}") for k in names for c in ("c0", "c1"))).first()
+    if any(not tot[f"{c}_{k}"] for k in names for c in ("c0", "c1")):
         return empty
-    a0, a1 = PRIOR * n0 / (n0 + n1), PRIOR * n1 / (n0 + n1)
-    odds = F.log((F.col("c1") + a1) / (F.lit(n1 + a1) - F.col("c1"))) - F.log((F.col("c0") + a0) / (F.lit(n0 + a0) - F.col("c0")))
-    scored = sums.select("h", "c0", "c1", odds.alias("d"), (1 / (F.col("c1") + a1) + 1 / (F.col("c0") + a0)).alias("v"))
-    top = scored.withColumn("z", F.abs("d") / F.sqrt("v")).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(max_tokens).toPandas()
+    for k in names:
+        n0, n1 = float(tot[f"c0_{k}"]), float(tot[f"c1_{k}"])
+        a0, a1 = PRIOR * n0 / (n0 + n1), PRIOR * n1 / (n0 + n1)
+        c0, c1 = F.col(f"c0_{k}"), F.col(f"c1_{k}")
+        odds = F.log((c1 + a1) / (F.lit(n1 + a1) - c1)) - F.log((c0 + a0) / (F.lit(n0 + a0) - c0))
+        sums = sums.withColumn(f"d_{k}", odds).withColumn(f"z_{k}", F.abs(odds) / F.sqrt(1 / (c1 + a1) + 1 / (c0 + a0)))
+    top = sums.where(F.greatest(*(f"z_{k}" for k in names)) >= MIN_Z).select("h", F.col("c0_a").alias("c0"), *(f"{x}_{k}" for k in names for x in "dz")).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     o = np.argsort(h)
-    d = top["d"].to_numpy(float) * (1 - 1 / np.maximum(top["z"].to_numpy(float), 1) ** 2)
-    tokens, weights = h[o], np.clip(d, -1.0, CLIP)[o] + DRIFT
-    p0 = top["c0"].to_numpy(float)[o] / n0
-    lam = _lambda(p0, weights)
-    cal = got.where("__f = 0").select("__t", "__y").mapInArrow(_features(tokens, weights, 0.0), "__y int, s double, n long, hits double").toPandas()
-    y, s, n, hits = (cal[c].to_numpy(float) for c in ("__y", "s", "n", "hits"))
+
+    def weights(k: str) -> np.ndarray:
+        d, z = top[f"d_{k}"].to_numpy(float)[o], np.maximum(top[f"z_{k}"].to_numpy(float)[o], 1e-9)
+        return np.where(z >= MIN_Z, np.clip(d * (1 - 1 / np.maximum(z, 1) ** 2), -1.0, CLIP), 0.0) + DRIFT
+
+    m = Model(h[o], weights("a"), 1.0, 0.0, np.zeros(0), empty.prior)
+    m.lam = _lambda(top["c0"].to_numpy(float)[o] / float(tot["c0_a"]), m.weights)
+    cal = got.mapInArrow(_calibration(m, [weights(str(k)) for k in range(FOLDS)]), "y int, s double, n long, all array<double>").toPandas()
+    y, s, n = (cal[c].to_numpy(float) for c in ("y", "s", "n"))
     if not 0 < y.sum() < len(y):
         return empty
     clean = (y == 0) & (n > 0)
-    log_k = float(np.mean(lam * s[clean] - np.log(np.maximum(n[clean], 1)))) - 0.5772156649 if clean.any() else 0.0
-    return Model(tokens, weights, lam, log_k, _logistic(_columns(s, n, hits, lam, log_k), y), empty.prior)
+    m.log_k = float(np.mean(m.lam * s[clean] - np.log(np.maximum(n[clean], 1)))) - 0.5772156649 if clean.any() else 0.0
+    total = np.array([np.maximum(m.lam * np.asarray(v, float) - np.log(max(k, 1)) - m.log_k, 0).sum() for v, k in zip(cal["all"], n)])
+    m.coef = _logistic(_columns(s, total, n, m.lam, m.log_k), y)
+    return m
 
 
 def _lambda(p0: np.ndarray, w: np.ndarray) -> float:
@@ -222,41 +249,51 @@ def _lambda(p0: np.ndarray, w: np.ndarray) -> float:
     return float(hi)
 
 
-def probability(m: Model, s: np.ndarray, n: np.ndarray, hits: np.ndarray) -> np.ndarray:
+def probability(m: Model, best: np.ndarray, total: np.ndarray, n: np.ndarray) -> np.ndarray:
     if not len(m.coef):
-        return np.full(len(s), m.prior)
-    return 1 / (1 + np.exp(-np.clip(_columns(s, n, hits, m.lam, m.log_k) @ m.coef, -30, 30)))
+        return np.full(len(best), m.prior)
+    return 1 / (1 + np.exp(-np.clip(_columns(best, total, n, m.lam, m.log_k) @ m.coef, -30, 30)))
 
 
-def significant_passages(text: str, m: Model, chance: float = 1e-3) -> list[tuple[int, int, float]]:
-    """(first token, end token, score) of every maximal segment expected fewer than ``chance`` times in such a text."""
-    h, _, n = _tokens(pa.array([text], pa.large_string()))
-    least = (np.log(max(int(n[0]), 1)) + m.log_k - np.log(chance)) / m.lam
-    return maximal_segments(_weigh(h, m.tokens, m.weights), least)
+def score(documents: DataFrame, m: Model, text: str = "text", out: str = "score", passages: str | None = None) -> DataFrame:
+    """Add the probability that a text is toxic, from the text alone.
 
+    ``passages`` names a column for its significant segments: first token, end
+    token and calibrated score (minus the log of the number expected by chance).
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(m)
 
-def score(documents: DataFrame, m: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the probability that a text is toxic, from the text alone."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(m)
-
-    @F.pandas_udf("double")
-    def f(col: pd.Series) -> pd.Series:
-        m = shared.value
+    def parts(col: pd.Series) -> Iterator[tuple]:
         arr = pa.array(col, pa.string(), from_pandas=True)
-        res = []
         for i, j in T.slices(arr, SLICE_BYTES):
-            h, row, n = _tokens(arr.slice(i, j - i))
-            w = _weigh(h, m.tokens, m.weights)
-            hits = np.bincount(row, weights=w > STRONG, minlength=j - i) if len(row) else np.zeros(j - i)
-            res.append(probability(m, best_segment(w, row, j - i), n, hits))
-        return pd.Series(np.concatenate(res) if res else np.zeros(0))
+            best, total, n, found = _scan(shared.value, shared.value.weights, arr.slice(i, j - i))
+            yield probability(shared.value, best, total, n), found
 
-    return documents.withColumn(out, f(F.col(text)))
+    @F.pandas_udf("double")
+    def f(col: pd.Series) -> pd.Series:
+        got = [p for p, _ in parts(col)]
+        return pd.Series(np.concatenate(got) if got else np.zeros(0))
+
+    @F.pandas_udf("struct<p: double, first: array<int>, end: array<int>, x: array<double>>")
+    def g(col: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, (row, first, end, _, x) in parts(col):
+            own: list[tuple] = [(v, [], [], []) for v in p]
+            for k in np.flatnonzero(x > 0):
+                for out_, v in zip(own[row[k]][1:], (first[k], end[k], x[k])):
+                    out_.append(v)
+            rows += own
+        return pd.DataFrame(rows, columns=["p", "first", "end", "x"])
+
+    if passages is None:
+        return documents.withColumn(out, f(F.col(text)))
+    d = documents.withColumn("__g", g(F.col(text)))
+    spans = F.expr("transform(arrays_zip(__g.first, __g.end, __g.x), v -> named_struct('first', v.first, 'end', v.end, 'score', v.x))")
+    return d.withColumn(out, F.col("__g.p")).withColumn(passages, spans).drop("__g")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3, threshold: float = 0.7, **bounds: int) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document; rows whose crc32 remainder is ``held_out`` don't train."""
+    """doc_id, held_out, score, predicted, passages for every document; rows whose crc32 remainder is ``held_out`` don't train."""
     m = fit(documents, labels, crc_mod("doc_id", folds) != held_out, **bounds)
     d = documents.select("doc_id", "text", (crc_mod("doc_id", folds) == held_out).alias("held_out"))
-    return score(d, m).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(d, m, passages="passages").select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
