@@ -26,7 +26,8 @@ string, for which counting is enough.
 
 Null and empty texts lose nothing. Rows with the same id and text are copies of
 each other. Texts shorter than ``length`` are kept. An empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored. Equal strings tie, and all of them go.
+A very long text is read in pieces, with the same result.
 """
 
 from __future__ import annotations
@@ -49,9 +50,11 @@ GRAM = 48
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 SLICE_BYTES = 1 << 20
 FILTER_BITS = 26
-#: A bucket with more distinct segments (over a block's bytes by then) is counted by whole strings.
-FULL = 4096
 BLOCK_BYTES = 1 << 20
+#: A bucket whose distinct segments have more bytes than memory for two blocks is counted by whole strings, with the same result.
+FULL = 2 * BLOCK_BYTES
+#: A longer text is cut into pieces that overlap by all but one byte of a string.
+PIECE = 1 << 25
 
 
 def shift_table() -> np.ndarray:
@@ -126,7 +129,13 @@ def _segment_rows(length: int, sieve=None, keys_only: bool = False):
             for i, j in T.slices(b.column(0), SLICE_BYTES):
                 part = b.slice(i, j - i)
                 raw, off = T.column_bytes(part.column(0))
-                row, start, count, key, h1, h2 = segments(raw, off, length, keys_only=keys_only)
+                if len(raw) > PIECE and j - i == 1:
+                    cuts = [(a, raw[a : a + PIECE + length - 1]) for a in range(0, len(raw) - length + 1, PIECE)]
+                    got = [segments(x, np.array([0, len(x)]), length, keys_only=keys_only) for _, x in cuts]
+                    row, start, count, key, h1, h2 = (np.concatenate(x) for x in zip(*got))
+                    start = start + np.repeat([a for a, _ in cuts], [len(g[0]) for g in got])
+                else:
+                    row, start, count, key, h1, h2 = segments(raw, off, length, keys_only=keys_only)
                 if keys_only:
                     yield pa.RecordBatch.from_pydict({"key": key.view(np.int64)})
                     continue
@@ -315,21 +324,22 @@ def repeated(documents: DataFrame, id_col: str = "doc_id", text: str = "text", l
     # of each distinct segment how often it stands, of each bucket how many distinct ones it has
     kinds = seg.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "count")).alias("at"))
     kinds = durable(kinds, "kinds")
-    buckets = kinds.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("`all` > 1")
+    size = F.sum(F.col("at.count") + (length - 1)).alias("bytes")
+    buckets = kinds.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), size).where("`all` > 1").drop("all")
     live = durable(kinds.join(buckets, "key"), "live")
     # the bytes of one segment of each kind, from the text where it stands first
-    need = live.where("kinds > 1").select("key", "h1", "h2", "kinds", F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), F.col("at.count").alias("count"))
-    asked = need.groupBy("id", "th").agg(F.collect_list(F.struct("key", "h1", "h2", "kinds", "start", "count")).alias("want"))
+    need = live.where("kinds > 1").select("key", "h1", "h2", "bytes", F.col("at.id").alias("id"), F.col("at.th").alias("th"), F.col("at.start").alias("start"), F.col("at.count").alias("count"))
+    asked = need.groupBy("id", "th").agg(F.collect_list(F.struct("key", "h1", "h2", "bytes", "start", "count")).alias("want"))
     src = rows.withColumnsRenamed({"id": "__i", "th": "__h"})
     src = src.join(asked, src["__i"].eqNullSafe(asked.id) & (src["__h"] == asked.th))
     cut = src.select(F.encode("t", "UTF-8").alias("t"), F.explode("want").alias("w"))
-    cut = cut.select("w.key", "w.h1", "w.h2", "w.kinds", F.substring(F.col("t"), F.col("w.start") + 1, F.col("w.count") + (length - 1)).alias("seg"))
+    cut = cut.select("w.key", "w.h1", "w.h2", "w.bytes", F.substring(F.col("t"), F.col("w.start") + 1, F.col("w.count") + (length - 1)).alias("seg"))
     cut = durable(cut, "bytes").dropDuplicates(["key", "h1", "h2"])
     cut = durable(cut, "bytes")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = cut.where(F.col("kinds") <= full).select("key", "h1", "h2", "seg").repartition(parts, "key").sortWithinPartitions("key")
+    small = cut.where(F.col("bytes") <= full).select("key", "h1", "h2", "seg").repartition(parts, "key").sortWithinPartitions("key")
     sorted_ = small.mapInArrow(_sorted_blocks(length), "key long, h1 long, h2 long, runs array<int>")
-    strings = cut.where(F.col("kinds") > full).select("key", "h1", "h2", "seg").repartition(parts).mapInArrow(_strings(length), "key long, h1 long, h2 long, p int, a long, c long")
+    strings = cut.where(F.col("bytes") > full).select("key", "h1", "h2", "seg").repartition(parts).mapInArrow(_strings(length), "key long, h1 long, h2 long, p int, a long, c long")
     strings = durable(strings, "strings")
     many = strings.groupBy("a", "c").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     hit = strings.join(many, ["a", "c"]).groupBy("key", "h1", "h2").agg(F.flatten(F.collect_list(F.array(F.col("p"), F.col("p") + 1))).alias("runs"))
