@@ -312,7 +312,7 @@ def encode(documents: DataFrame, keep: list[str], text: str = "text", model: str
                 texts = part.column(0).to_pylist()
                 flat, n = codec.encode_batch(texts)
                 off = np.concatenate([[0], np.cumsum(n)])
-                exact = [codec.decode(flat[x:y].tolist()) == (t or "").replace(MARK, " ") for t, x, y in zip(texts, off[:-1], off[1:])]
+                exact = [codec.decode(flat[x:y].tolist()) == (t or "") for t, x, y in zip(texts, off[:-1], off[1:])]
                 ids = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], ids, pa.array(n), pa.array(exact)], names=[*part.schema.names[1:], "ids", "n_ids", "exact"])
         if codec.forget not in T.held:  # the next task of this kind goes on with these words
