@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,21 @@ def test_suffix_dedup(docs, texts):
                 assert (own == gone).all()
 
 
+def test_suffix_dedup_reads_long_texts_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 123, 6000).astype(np.uint8)
+    raw[3000:3700] = raw[100:800]
+    whole = suffix_dedup._segment_rows(200)
+    batch = pa.RecordBatch.from_pydict({"t": [raw.tobytes().decode()], "id": [1], "th": [2]})
+
+    def starts():
+        return sorted((k, s + i) for b in whole(iter([batch])) for s, c, k in zip(b["start"].to_pylist(), b["count"].to_pylist(), b["key"].to_pylist()) for i in range(c))
+
+    want = starts()
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    assert starts() == want and len(want) == 5801
+
+
 def test_simhash(docs, texts):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs, ["doc_id"], "doc_id").collect()}
     assert all(got[i].fp & (2**64 - 1) == simhash.fingerprint(t) for i, t in enumerate(texts))
@@ -141,12 +157,41 @@ def test_fingerprints(docs, texts):
         half = len(t) // 2
         assert got[i].n_chars == len(t)
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        a, b, c = (plain_sketch(x) for x in (t, t[: len(t) - half] + nxt[:half], nxt))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (a, b)
+        assert abs(got[i].near_edited - fingerprints.jaccard(a, b)) < 1e-9 and abs(got[i].near_next - fingerprints.jaccard(a, c)) < 1e-9
     assert got[7].fingerprint == got[8].fingerprint and got[7].near_next == 1
     assert fingerprints.edited_likeness(docs.where("false")).count() == 0
     assert fingerprints.edited_likeness(docs.where("doc_id = 7")).first().near_next == 1
 
 
+def plain_sketch(t):
+    """Hashes of five-word shingles below the threshold, else the smallest."""
+    w = t.encode().lower().split()
+    one = lambda x: int(textnum.span_hash(textnum.prefix_hash(np.frombuffer(x, np.uint8)), np.array([0]), np.array([len(x)]))[0])
+    hs = set()
+    for i in range(max(len(w) - 4, min(len(w), 1))):
+        h = 0
+        for j in range(5):
+            h = mix64((h + (one(w[i + j]) if i + j < len(w) else j + 1)) & M64)
+        hs.add(h)
+    low = sorted(h for h in hs if h < 1 << 62)
+    return "".join(f"{h:016x}" for h in low) or "".join(f"+{min(hs):016x}" for _ in hs if hs)[:17]
+
+
+def test_sketches_merge_and_contain(spark):
+    rng = random.Random(7)
+    a, b = words(rng, 600), words(rng, 900)
+    both = a + " " + b
+    sa, sb, sc, sd = (plain_sketch(x) for x in (a, b, both, "one two three"))
+    assert abs(fingerprints.containment(sa, sc) - 1) < 0.02 and fingerprints.containment(sa, sb) < 0.05
+    assert set(fingerprints._plain(fingerprints.merge(sa, sb))) <= set(fingerprints._plain(sc))
+    assert fingerprints.merge("", "") == "" and fingerprints.merge(sd, "") == sd and fingerprints.containment("", sa) == 1
+    df = spark.createDataFrame([(1, sa), (1, sb), (1, sa), (2, ""), (2, sd), (3, "")], "g int, fingerprint string")
+    got = {r.g: r.fingerprint for r in fingerprints.merged(df, ["g"]).collect()}
+    assert got == {1: fingerprints.merge(sa, sb), 2: sd, 3: ""}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(200, 8)).round(1)
@@ -159,6 +204,12 @@ def test_top_k(spark):
         s = sorted((-int(x[q] @ x[c]), c) for c in range(200) if c != q)[:5]
         want += [(q, r + 1, c, -s_) for r, (s_, c) in enumerate(s)]
     assert sorted(got) == sorted(want)
+    held, out = {}, []
+    for a in range(0, 200, 40):  # the k best so far go along from block to block
+        out += topk.threshold_search(np.arange(a, a + 40), x[a : a + 40].astype(float), np.array([0, 50]), x[[0, 50]].astype(float), 5, held=held)
+    for q in (0, 50):
+        best = sorted((-s, c) for i, c, s in out if i == q)[:5]
+        assert [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)] == [w for w in want if w[0] == q]
 
 
 def test_mixing(docs, texts):
@@ -368,15 +419,72 @@ def test_toxicity(spark):
     assert got[1000].score == got[1001].score
     none = toxicity.toxicity(d, lab.where("false")).collect()
     assert len(none) == 602
-    w = np.array([1, -2, 3, 1, -1, 4, -9, 2.0])
-    assert toxicity.best_segment(w, np.zeros(8, np.int64), 1)[0] == 7
-    assert toxicity.maximal_segments(w, 2) == [(2, 6, 7.0), (7, 8, 2.0)]
+    assert all(r.predicted == 0 or r.passages for r in held)
+
+
+def test_toxicity_ties_of_equal_texts_and_empty_tables(spark):
+    rows = [(i, "fine words here" if i % 2 else "zz bad words", "en", "a", 0) for i in range(60)]
+    labels = [(i, int(i % 2 == 0)) for i in range(60)] + [(1, 1), (None, 1)]
+    d, lab = spark.createDataFrame(rows, DOCS).withColumn("__t", F.lit(1)).withColumn("score", F.lit(2)), spark.createDataFrame(labels, "doc_id long, toxic int")
+    a = sorted((r.doc_id, r.score) for r in toxicity.toxicity(d, lab).collect())
+    assert a == sorted((r.doc_id, r.score) for r in toxicity.toxicity(d.repartition(5), lab.repartition(3)).collect())
+    assert len({s for i, s in a if i % 2}) == 1
+    assert toxicity.toxicity(d.where("false"), lab).count() == 0
+
+
+def plain_segments(w):
+    """Maximal segments by definition: the best segment, then those of what is left on both sides."""
+    best = max(((sum(w[a:b]), -a, -b) for a in range(len(w)) for b in range(a + 1, len(w) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    a, b = -best[1], -best[2]
+    return [*plain_segments(w[:a]), (a, b, best[0]), *((x + b, y + b, v) for x, y, v in plain_segments(w[b:]))]
+
+
+def test_maximal_segments():
+    assert toxicity.maximal_segments(np.array([1, -2, 3, 1, -1, 4, -9, 2.0]), 2) == [(2, 6, 7.0), (7, 8, 2.0)]
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        parts = [rng.normal(size=rng.integers(0, 12)).round(3) - 0.1 for _ in range(4)]
+        row = np.repeat(np.arange(4), [len(p) for p in parts])
+        got = toxicity.segments(np.concatenate(parts), row, 4)
+        want = [(r, a, b, v) for r, p in enumerate(parts) for a, b, v in plain_segments(list(p))]
+        assert [x[:3] for x in want] == list(zip(*(c.tolist() for c in got[:3]))) and np.allclose(got[3], [x[3] for x in want])
 
 
 def test_html():
     page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; line</h1><p>First  text<br>goes on.<p>Second one here.</article><div class='comments'><p>I disagree strongly.</p></div><footer>&copy; x</footer>"
     assert html_extract.extract(page) == "Head & line\n\nFirst text goes on.\n\nSecond one here."
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<nav>x</nav>") == ""
+    prose = "This is a long paragraph, with commas, and it goes on for a while so that it is clearly prose of the page, as all would say."
+    menu = "<ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul>"
+    bare = f"<body>{menu}<div><p>{prose}</p>and so it went on<p>{prose}</p><p>Short.</p></div><div id=comments><p>{prose}</p></div>{menu}</body>"
+    assert html_extract.extract(bare) == f"{prose}\n\nand so it went on\n\n{prose}\n\nShort."
+    found = html_extract.blocks(bare)
+    assert html_extract.label(found) != [a > b for a, b in html_extract.costs(found)]  # the cut decides
+    odd = f"<article><h1>Head</h1><p>{prose}</p><div class='notice'>We use cookies.</div><p>More, {prose}</p><aside>{prose}</aside><form>Your mail <input></form><div class=ad>Buy now, today.</div><section id='comments'><p>{prose}</p></section></article><p>{prose} Outside.</p>"
+    assert html_extract.extract(odd) == f"Head\n\n{prose}\n\nMore, {prose}"
+    assert html_extract.extract("<p>" * 3000 + prose) == prose and html_extract.extract("<div" * 50 + "<") is not None
+
+
+def test_html_pages(spark):
+    rng = random.Random(12)
+    long = lambda: ", ".join(words(rng, 8) for _ in range(3)).capitalize() + "."
+    rows, want = [], {}
+    for i in range(60):
+        ps = [long() for _ in range(rng.randint(1, 5))] + ["Hm."]
+        tag = "article" if i % 2 else "div"  # every other page doesn't name its article
+        rows.append((i, None, f"<nav><a href=x>{words(rng, 2)}</a></nav><div class=ad>{long()}</div><{tag}>" + "".join(f"<p>{p}</p>" for p in ps) + f"</{tag}><footer>{words(rng, 3)}</footer>"))
+        want[i] = "\n\n".join(ps)
+    rows += [(None, "u", None), (100, "u", ""), (100, "u", ""), (101, "u", rows[1][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    got = html_extract.extract_pages(df).collect()
+    assert len(got) == 64 and all(r.text == want[r.page_id] for r in got if r.page_id is not None and r.page_id < 100)
+    assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id == 100] == ["", ""]
+    assert html_extract.extract_pages(df.where("false")).count() == 0
+
+
+def test_min_cut():
     rng = random.Random(4)
     for _ in range(50):
         n = rng.randint(1, 7)

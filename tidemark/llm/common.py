@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for intermediate data.
 
-    ``spark.checkpoint.dir`` wins. A folder of our own is made only where the
-    setting is absent and no checkpoint folder has been set, as in tests.
+    ``spark.checkpoint.dir`` wins. A folder of our own is made only in a local
+    session where the setting is absent and no checkpoint folder has been set,
+    as in tests; on a cluster that is an error, as a machine's own folder would
+    scatter the files.
     """
     sc = spark.sparkContext
     now = sc.getCheckpointDir()
@@ -23,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not now:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         now = sc.getCheckpointDir()
     return now
