@@ -1,7 +1,10 @@
 """Toxicity: maximum-scoring segments of token log-odds.
 
-Training learns, for every token, the log-odds of toxic against other texts
-under a Dirichlet prior. A text is a sequence of these weights; one linear scan
+Training learns, for every word and every beginning of a word, the log-odds of
+toxic against other texts under a Dirichlet prior, by the texts that hold it. A
+token's weight is that of the unit, the word or a stem that its forms share,
+whose log-odds are furthest from 0 for certain (by two standard errors); a word
+that repeats the one before it has none. A text is a sequence of these weights; one linear scan
 finds every maximal-scoring segment. Segment scores S of clean text follow an
 extreme-value law, so K * n * exp(-lambda * S) is the number of such segments
 expected by chance in a text of n tokens; lambda is the root of
@@ -36,8 +39,10 @@ from .common import crc_mod, durable
 
 #: At most so many labelled texts train, those with the smallest hash of the id.
 MAX_LABELLED = 40_000
-#: Tokens with a weight have a z-score of so much in some fold.
+#: Units with a weight have a z-score of so much in some fold.
 MIN_Z = 3.0
+#: Bytes of the beginnings that are units; 0 is the whole word.
+UNITS = (0, 4, 5, 6, 7, 8, 9)
 FOLDS = 3
 #: Prior occurrences of every token, shared between the classes as their tokens are.
 PRIOR = 2.0
@@ -60,7 +65,7 @@ class Model:
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, lower case, without punctuation around it; its row; words of each row."""
+    """Hashes of each word's units (a row for each kind, 0: none), lower case, without punctuation around it; its row; words of each row."""
     raw, off = T.column_bytes(texts)
     raw = T.LOWER[raw]
     s, e, row = T.words(raw, off)
@@ -68,7 +73,12 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(s):
             s = s + (PUNCT[raw[s]] & (e - s > 1))
             e = e - (PUNCT[raw[e - 1]] & (e - s > 1))
-    return T.span_hash(T.prefix_hash(raw), s, e), row, np.bincount(row, minlength=len(off) - 1) if len(row) else np.zeros(len(off) - 1, np.int64)
+    run = T.prefix_hash(raw)
+    h = np.zeros((len(UNITS), len(s)), np.uint64)
+    for i, k in enumerate(UNITS):
+        ok = e - s >= max(k, 1)
+        h[i, ok] = T.span_hash(run, s[ok], s[ok] + k if k else e[ok], k)
+    return h, row, np.bincount(row, minlength=len(off) - 1) if len(row) else np.zeros(len(off) - 1, np.int64)
 
 
 def _joined(at: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, float]]:
@@ -108,18 +118,28 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in T.slices(b.column(0), SLICE_BYTES):
             h, row, _ = _tokens(b.column(0).slice(i, j - i))
             for k in np.unique(fold[i:j]):
-                own = fold[i:j][row] == k
-                u, inv = np.unique(h[own], return_inverse=True)
-                c1 = np.bincount(inv, weights=y[i:j][row[own]], minlength=len(u)).astype(np.int64)
+                own = np.tile(fold[i:j][row] == k, len(UNITS)) & (h.ravel() != 0)
+                who = np.tile(row, len(UNITS))[own]
+                # a text counts once for each unit that it holds, however often
+                u, inv = np.unique(h.ravel()[own], return_inverse=True)
+                once = np.unique(inv * np.int64(j - i) + who)
+                inv, who = once // (j - i), once % (j - i)
+                c1 = np.bincount(inv, weights=y[i:j][who], minlength=len(u)).astype(np.int64)
                 c = np.bincount(inv, minlength=len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"h": u.view(np.int64), "f": np.full(len(u), k, np.int32), "c0": c - c1, "c1": c1})
 
 
-def _weigh(h: np.ndarray, tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    if not len(tokens):
-        return np.full(len(h), DRIFT)
-    at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-    return np.where(tokens[at] == h, weights[at], DRIFT)
+def _weigh(h: np.ndarray, m: "Model", table: np.ndarray) -> np.ndarray:
+    """Each token's weight: that of its unit with the largest absolute odds. table: weights and absolute odds of the units."""
+    w, best = np.full(h.shape[1], DRIFT), np.zeros(h.shape[1])
+    if len(m.tokens):
+        for x in h:
+            at = np.minimum(np.searchsorted(m.tokens, x), len(m.tokens) - 1)
+            better = (m.tokens[at] == x) & (table[1][at] > best)
+            w[better], best[better] = table[0][at[better]], table[1][at[better]]
+        again = np.flatnonzero(h[0][1:] == h[0][:-1]) + 1
+        w[again] = np.minimum(w[again], DRIFT)
+    return w
 
 
 def segments(w: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +162,7 @@ def segments(w: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, n
 def _scan(m: "Model", weights: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """Best segment's score, sum of the calibrated scores of significant segments, tokens of each text; the segments."""
     h, row, n = _tokens(texts)
-    found = segments(_weigh(h, m.tokens, weights), row, len(texts))
+    found = segments(_weigh(h, m, weights), row, len(texts))
     best = np.zeros(len(texts))
     np.maximum.at(best, found[0], found[3])
     x = m.lam * found[3] - np.log(np.maximum(n[found[0]], 1)) - m.log_k
@@ -201,7 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame, train: "F.Column | None" = None
     got = texts.join(F.broadcast(lab), "__id").groupBy(F.xxhash64("__t").alias("__h")).agg(F.first("__t").alias("__t"), F.max("__y").alias("__y"))
     got = durable(got.select("__t", "__y", F.pmod(F.col("__h"), F.lit(FOLDS)).cast("int").alias("__f")), "labelled")
     share = lab.agg(F.avg("__y").alias("m"), F.count("*").alias("n")).first()
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0, np.zeros(0), float(((share.m or 0) * share.n + 0.5) / (share.n + 1)))
+    empty = Model(np.zeros(0, np.uint64), np.zeros((2, 0)), 1.0, 0.0, np.zeros(0), float(((share.m or 0) * share.n + 0.5) / (share.n + 1)))
     sums = got.select("__t", F.col("__y").cast("double"), "__f").mapInArrow(_counts, "h long, f int, c0 long, c1 long")
     per = [F.sum(F.when(F.col("f") != k, F.col(c)).otherwise(0)).alias(f"{c}_{k}") for k in range(FOLDS) for c in ("c0", "c1")]
     sums = durable(sums.groupBy("h").agg(F.sum("c0").alias("c0_a"), F.sum("c1").alias("c1_a"), *per), "counts")
@@ -221,10 +241,12 @@ def fit(documents: DataFrame, labels: DataFrame, train: "F.Column | None" = None
 
     def weights(k: str) -> np.ndarray:
         d, z = top[f"d_{k}"].to_numpy(float)[o], np.maximum(top[f"z_{k}"].to_numpy(float)[o], 1e-9)
-        return np.where(z >= MIN_Z, np.clip(d * (1 - 1 / np.maximum(z, 1) ** 2), -1.0, CLIP), 0.0) + DRIFT
+        d = np.where(z >= MIN_Z, d * (1 - 2 / np.maximum(z, MIN_Z)), 0.0)
+        return np.stack([np.clip(d, -1.0, CLIP) + DRIFT, np.abs(d)])
 
     m = Model(h[o], weights("a"), 1.0, 0.0, np.zeros(0), empty.prior)
-    m.lam = _lambda(top["c0"].to_numpy(float)[o] / float(tot["c0_a"]), m.weights)
+    # units of a word are counted with it: words and their drift alone make up the law of clean tokens
+    m.lam = _lambda(top["c0"].to_numpy(float)[o] / float(tot["c0_a"]), m.weights[0])
     cal = got.mapInArrow(_calibration(m, [weights(str(k)) for k in range(FOLDS)]), "y int, s double, n long, all array<double>").toPandas()
     y, s, n = (cal[c].to_numpy(float) for c in ("y", "s", "n"))
     if not 0 < y.sum() < len(y):
