@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import DATA_BLOCK_BYTES, RESTART_INTERVAL, TARGET_FILE_BYTES
+from ..schema import DATA_BLOCK_BYTES, GRANDPARENT_LIMIT, RESTART_INTERVAL, TARGET_FILE_BYTES
 
 
 def shared_prefix(a: str, b: str) -> Column:
@@ -25,9 +25,9 @@ def key_prefixes(runs: DataFrame, interval: int = RESTART_INTERVAL) -> DataFrame
 
 def varint_length(x: Column) -> Column:
     """Bytes of an unsigned integer in groups of seven bits."""
-    out = F.lit(10)
-    for n in range(9, 0, -1):
-        out = F.when(x < F.lit(2 ** min(7 * n, 62) if 7 * n < 63 else 2**62 * 2 - 1), n).otherwise(out)
+    out = F.lit(9)  # every long that isn't negative
+    for n in range(8, 0, -1):
+        out = F.when(x < F.lit(2 ** (7 * n)), n).otherwise(out)
     return F.when(x < 0, 10).otherwise(out).cast("long")
 
 
@@ -61,6 +61,33 @@ def cut(entries: DataFrame, group: str, order: list, limit: int = DATA_BLOCK_BYT
     return entries.groupBy(group).applyInPandas(lambda p: f(p.sort_values([c for c, _ in sort], ascending=[a for _, a in sort], kind="stable")), f"{cols}, part long")
 
 
-def cut_outputs(entries: DataFrame, group: str, limit: int = TARGET_FILE_BYTES) -> DataFrame:
-    """Output files of a compaction: all versions of a key stay in one file."""
-    return cut(entries, group, ["user_key", ("seq", False)], limit, "user_key")
+def cut_outputs(entries: DataFrame, group: str, limit: int = TARGET_FILE_BYTES, grand: DataFrame | None = None, grand_limit: int = GRANDPARENT_LIMIT) -> DataFrame:
+    """Output files of a compaction: all versions of a key stay in one file.
+
+    With ``grand`` (``group``, number, file_size, smallest, largest: files two
+    levels below) a file also ends before it meets more than ``grand_limit``
+    bytes of them; those that its first key lies in don't count.
+    """
+    if grand is None:
+        return cut(entries, group, ["user_key", ("seq", False)], limit, "user_key")
+    cols = ", ".join(f"`{n}` {t}" for n, t in entries.dtypes)
+
+    def f(mine, files):
+        mine = mine.sort_values(["user_key", "seq"], ascending=[True, False], kind="stable")
+        files = files.sort_values(["smallest", "number"]).to_dict("records")
+        out, n, size, met, at, last, head = [], 0, 0, 0, 0, None, True
+        for b, k in zip(mine["bytes"], mine["user_key"]):
+            if k != last:
+                fresh = 0
+                while at < len(files) and files[at]["smallest"] <= k:
+                    fresh += files[at]["file_size"]
+                    at += 1
+                if not head and (size >= limit or met + fresh > grand_limit):
+                    n, size, met, head = n + 1, 0, 0, True
+                if not head:
+                    met += fresh
+            out.append(n)
+            size, last, head = size + b, k, False
+        return mine.assign(part=out)
+
+    return entries.groupBy(group).cogroup(grand.groupBy(group)).applyInPandas(f, f"{cols}, part long")

@@ -47,10 +47,15 @@ def level_stats(spark: SparkSession, files: DataFrame) -> DataFrame:
     return every.join(own, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("files"), F.coalesce("b", F.lit(0)).cast("long").alias("bytes"), level_limit(F.col("level")).alias("byte_limit"))
 
 
-def compaction_score(files: DataFrame) -> DataFrame:
-    """level, score of the level most in need: files over the trigger at level 0, bytes over the limit below; the lowest of equals."""
+def compaction_scores(files: DataFrame) -> DataFrame:
+    """level, score of every level that can be compacted: files over the trigger at level 0, bytes over the limit below. The last level has nowhere to go."""
     score = F.when(F.col("level") == 0, F.count("*") / float(L0_TRIGGER)).otherwise(F.sum("file_size") / level_limit(F.col("level")))
-    return files.groupBy("level").agg(score.alias("score")).where("score > 0").orderBy(F.desc("score"), "level").limit(1)
+    return files.where(F.col("level") < NUM_LEVELS - 1).groupBy("level").agg(score.alias("score")).where("score > 0")
+
+
+def compaction_score(files: DataFrame) -> DataFrame:
+    """level, score of the level most in need; the lowest of equals."""
+    return compaction_scores(files).orderBy(F.desc("score"), "level").limit(1)
 
 
 def must_stall(files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ bound on seq goes below that choice, where the scan can use it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ def as_of(log: DataFrame, seq: int = MAX_SEQ) -> DataFrame:
 
 
 def get(log: DataFrame, key, seq: int = MAX_SEQ) -> DataFrame:
-    """The visible value of one key; the equality reaches the scan."""
+    """The visible value of one key; the equality reaches the scan where user_key is a stored column."""
     return as_of(log.where(F.col("user_key") == F.lit(key)), seq)
 
 
@@ -89,16 +89,21 @@ def scan(log: DataFrame, seq: int = MAX_SEQ, low=None, high=None, prefix=None, l
     return out if limit is None else out.limit(limit)
 
 
-def lower_bound(keys: DataFrame, targets: DataFrame, chars: int = 3) -> DataFrame:
-    """target, user_key: the smallest key at or above each target, null if there is none.
+def lower_bound(keys: DataFrame, targets: DataFrame, chars: int = 3, value: str | None = None) -> DataFrame:
+    """target, user_key (and ``value``): the smallest key at or above each target, null if there is none.
 
-    Keys meet targets that share their first characters; a target without such
-    a key takes the smallest key of the next prefix, of which there are few.
+    With ``value`` a key's smallest value goes along. Targets are sorted in
+    among the keys that share their first characters and take the first key
+    after them; where none follows, the head of the next prefix, from a table of
+    one row for each prefix. No pairs of keys and targets are formed.
     """
-    cut: Column = F.substring("user_key", 1, chars)
-    k = keys.select("user_key").distinct().withColumn("__p", cut)
-    t = targets.select("target").distinct().withColumn("__p", F.substring("target", 1, chars))
-    near = t.join(k, "__p", "left").groupBy("target", "__p").agg(F.min(F.when(F.col("user_key") >= F.col("target"), F.col("user_key"))).alias("near"))
-    heads = k.groupBy("__p").agg(F.min("user_key").alias("head")).select(F.col("__p").alias("__q"), "head")
-    far = near.where("near is null").join(heads, F.col("__q") > F.col("__p"), "left").groupBy("target").agg(F.min("head").alias("far"))
-    return near.join(far, "target", "left").select("target", F.coalesce("near", "far").alias("user_key"))
+    own = F.struct("user_key", *([value] if value else []))
+    k = keys.select(F.col("user_key").alias("__k"), own.alias("__v"), F.lit(1).alias("__f"))
+    t = targets.select(F.col("target").alias("__k"), F.lit(None).cast(k.schema["__v"].dataType).alias("__v"), F.lit(0).alias("__f")).distinct()
+    both = k.groupBy("__k", "__f").agg(F.min("__v").alias("__v")).select("__k", "__v", "__f").unionByName(t).withColumn("__p", F.substring("__k", 1, chars))
+    heads = both.groupBy("__p").agg(F.min_by("__v", F.when(F.col("__f") == 1, F.col("__k"))).alias("__h"))
+    after = heads.withColumn("__c", F.first("__h", ignorenulls=True).over(W.orderBy("__p").rowsBetween(1, W.unboundedFollowing))).select("__p", "__c")
+    w = W.partitionBy("__p").orderBy("__k", "__f").rowsBetween(0, W.unboundedFollowing)
+    met = both.withColumn("__n", F.first("__v", ignorenulls=True).over(w)).where("__f = 0").join(after, "__p")
+    hit = F.coalesce("__n", "__c")
+    return met.select(F.col("__k").alias("target"), hit["user_key"].alias("user_key"), *([hit[value].alias(value)] if value else []))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,3 +62,32 @@ def split_record(records: DataFrame) -> DataFrame:
     kind = F.when(F.col("n") == 1, FULL).when(F.col("piece") == 1, FIRST).when(F.col("piece") == F.col("n"), LAST).otherwise(MIDDLE)
     size = F.when(F.col("piece") < F.col("n"), F.lit(most)).otherwise(F.col("length") - (F.col("n") - 1) * most)
     return out.select("record", F.col("piece").cast("long").alias("piece"), kind.cast("tinyint").alias("rtype"), size.cast("long").alias("length"))
+
+
+def split_log(records: DataFrame, group: str = "log") -> DataFrame:
+    """``group``, record, piece, rtype, length, offset, trailer: how the records of a log, one after the other, are cut into pieces.
+
+    A piece takes what is left of its block; where less than a header is left,
+    the block ends with so many zero bytes (``trailer``, on the piece after).
+    Each place depends on the one before, so a log is read in order, in one
+    task; logs are files of bounded size.
+    """
+    kind = records.schema[group].dataType.simpleString()
+
+    def f(pdf):
+        out, at = [], 0
+        for who, record, left in pdf.sort_values("record")[[group, "record", "length"]].itertuples(index=False):
+            piece, first = 0, True
+            while first or left > 0:
+                room = LOG_BLOCK - at % LOG_BLOCK
+                pad = room if room < LOG_HEADER else 0
+                at += pad
+                take = min(left, LOG_BLOCK - at % LOG_BLOCK - LOG_HEADER)
+                left -= take
+                piece += 1
+                out.append((who, record, piece, FULL if first and not left else FIRST if first else MIDDLE if left else LAST, take, at, pad))
+                at += LOG_HEADER + take
+                first = False
+        return pd.DataFrame(out, columns=[group, "record", "piece", "rtype", "length", "offset", "trailer"])
+
+    return records.groupBy(group).applyInPandas(f, f"`{group}` {kind}, record long, piece long, rtype tinyint, length long, offset long, trailer long")

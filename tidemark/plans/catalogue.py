@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bloom, encoding, levels, manifest, merge, versions, wal
+from ..schema import Options
 from ..sources import workload as src
+from ..sources.store import Engine
+from ..streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,9 +156,9 @@ def kv_delete_revive(spark, d):
     return merge.revived(src.events_log(spark, d))
 
 
-@query("SELECT coalesce(min(event_id * 10), 9223372036854775807) AS oldest FROM events WHERE event_id BETWEEN 5 AND 20 AND user_id >= 0")
+@query("SELECT coalesce(min(event_id * 10), 9223372036854775807) AS oldest FROM events WHERE user_id >= 0")
 def snap_oldest(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id between 5 and 20 and user_id >= 0")
+    e = spark.read.parquet(f"{d}/events.parquet").where("user_id >= 0")
     return levels.oldest_snapshot(e.select(F.col("event_id").alias("handle_id"), (F.col("event_id") * 10).alias("seq")))
 
 
@@ -247,11 +250,11 @@ NAMES = "CASE event_id % 5 WHEN 0 THEN printf('%06d.log', event_id) WHEN 1 THEN
 
 
 @query(
-    f"""WITH {LOG}, {EDITS}, {LIVE}, l AS (SELECT {NAMES} AS name, event_id AS n, event_id % 5 AS k FROM events WHERE event_id < 12000 UNION ALL SELECT 'CURRENT.dbtmp', 0, 9 UNION ALL SELECT 'CURRENT', 0, 8)
+    f"""WITH {LOG}, {EDITS}, {LIVE}, l AS (SELECT {NAMES} AS name, event_id AS n, event_id % 5 AS k FROM events UNION ALL SELECT 'CURRENT.dbtmp', 0, 9 UNION ALL SELECT 'CURRENT', 0, 8)
     SELECT name FROM l WHERE (k = 1 AND n NOT IN (SELECT number FROM live)) OR (k = 0 AND n <> 5) OR (k = 2 AND n <> 7) OR k = 9"""
 )
 def obsolete_files(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 12000")
+    e = spark.read.parquet(f"{d}/events.parquet")
     n = F.col("event_id")
     name = F.when(n % 5 == 0, manifest.file_name("log", n)).when(n % 5 == 1, manifest.file_name("sst", n)).when(n % 5 == 2, manifest.file_name("manifest", n)).when(n % 5 == 3, F.concat(F.lit("notes-"), n.cast("string"))).otherwise(F.concat(manifest.file_name("sst", n), F.lit(".bak")))
     listing = e.select(name.alias("name")).unionByName(spark.createDataFrame([("CURRENT.dbtmp",), ("CURRENT",)], "name string"))
@@ -330,18 +333,112 @@ def varint_len(spark, d):
     return e.select("event_id", encoding.varint_length(F.col("event_id") * F.col("event_id")).alias("bytes"))
 
 
-@query(None)
+#: A greedy scan in SQL: entry after entry, a new part once the one before is full and, for whole keys, the key changes.
+GREEDY = """c AS (SELECT g, i, user_key, bytes AS size, CAST(0 AS BIGINT) AS part FROM e WHERE i = 1
+    UNION ALL SELECT e.g, e.i, e.user_key, CASE WHEN c.size >= {limit} {whole} THEN 0 ELSE c.size END + e.bytes, c.part + CASE WHEN c.size >= {limit} {whole} THEN 1 ELSE 0 END
+    FROM c JOIN e ON e.g = c.g AND e.i = c.i + 1)"""
+ENTRY = "strlen(user_key) + strlen(value) + 12 AS bytes, row_number() OVER (PARTITION BY {g} ORDER BY user_key, seq DESC) AS i"
+
+
+@query(
+    f"""WITH RECURSIVE {LOG}, e AS MATERIALIZED (SELECT (seq - 1) // 1000 AS g, user_key, {ENTRY.format(g="(seq - 1) // 1000")} FROM log), {GREEDY.format(limit=4096, whole="")}
+    SELECT g AS run_no, part, count(*) AS entries, max(user_key) AS separator FROM c GROUP BY g, part"""
+)
 def block_cut(spark, d):
     runs = levels.assign_runs(src.events_log(spark, d))
     e = runs.select("run_no", "user_key", "seq", (F.length("user_key") + F.length("value") + 12).alias("bytes"))
     return encoding.cut(e, "run_no", ["user_key", ("seq", False)]).groupBy("run_no", "part").agg(F.count("*").alias("entries"), F.max("user_key").alias("separator"))
 
 
-@query(None)
+def _jobs(spark, d):
+    """The log's entries by compaction: ranges of ten users."""
+    log = src.events_log(spark, d)
+    return log.select(F.substring("user_key", 1, 4).alias("job"), "user_key", "seq", (F.length("user_key") + F.length("value") + 12).alias("bytes"))
+
+
+@query(
+    f"""WITH RECURSIVE {LOG}, e AS MATERIALIZED (SELECT substr(user_key, 1, 4) AS g, user_key, {ENTRY.format(g="substr(user_key, 1, 4)")} FROM log), {GREEDY.format(limit=8192, whole="AND e.user_key <> c.user_key")}
+    SELECT g AS job, part, count(*) AS entries, min(user_key) AS smallest, max(user_key) AS largest FROM c GROUP BY g, part"""
+)
 def output_split(spark, d):
+    out = encoding.cut_outputs(_jobs(spark, d), "job", 8 * 1024)
+    return out.groupBy("job", "part").agg(F.count("*").alias("entries"), F.min("user_key").alias("smallest"), F.max("user_key").alias("largest"))
+
+
+@query(
+    f"""WITH RECURSIVE {LOG}, k AS MATERIALIZED (SELECT substr(user_key, 1, 4) AS g, user_key, count(*) AS entries, sum(strlen(user_key) + strlen(value) + 12) AS bytes, 1000 * (CAST(substr(user_key, 2) AS BIGINT) % 3) AS fresh, row_number() OVER (PARTITION BY substr(user_key, 1, 4) ORDER BY user_key) AS i FROM log GROUP BY user_key),
+    c AS (SELECT g, i, user_key, entries, bytes AS size, CAST(0 AS BIGINT) AS met, CAST(0 AS BIGINT) AS part FROM k WHERE i = 1
+    UNION ALL SELECT k.g, k.i, k.user_key, k.entries, CASE WHEN c.size >= 16384 OR c.met + k.fresh > 2500 THEN 0 ELSE c.size END + k.bytes,
+    CASE WHEN c.size >= 16384 OR c.met + k.fresh > 2500 THEN 0 ELSE c.met + k.fresh END, c.part + CASE WHEN c.size >= 16384 OR c.met + k.fresh > 2500 THEN 1 ELSE 0 END
+    FROM c JOIN k ON k.g = c.g AND k.i = c.i + 1)
+    SELECT g AS job, part, CAST(sum(entries) AS BIGINT) AS entries, min(user_key) AS smallest, max(user_key) AS largest FROM c GROUP BY g, part"""
+)
+def output_split_grandparents(spark, d):
+    e = _jobs(spark, d)
+    uid = F.substring("user_key", 2, 10).cast("long")
+    grand = e.select("job", "user_key").distinct().select("job", uid.alias("number"), (1000 * (uid % 3)).alias("file_size"), F.col("user_key").alias("smallest"), F.col("user_key").alias("largest"))
+    out = encoding.cut_outputs(e, "job", 16 * 1024, grand, 2500)
+    return out.groupBy("job", "part").agg(F.count("*").alias("entries"), F.min("user_key").alias("smallest"), F.max("user_key").alias("largest"))
+
+
+@query(f"WITH {LOG}, t AS (SELECT DISTINCT user_key || 'a' AS target FROM log), k AS (SELECT target, (SELECT min(user_key) FROM log WHERE user_key >= target) AS user_key FROM t) SELECT target, k.user_key, min(value) AS value FROM k LEFT JOIN log USING (user_key) GROUP BY target, k.user_key")
+def kv_lower_bound_value(spark, d):
+    log = src.events_log(spark, d)
+    return versions.lower_bound(log, log.select(F.concat("user_key", F.lit("a")).alias("target")), value="value")
+
+
+@query(None)
+def wal_split_log(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return wal.split_log(e.select(F.floor(F.col("event_id") / 1000).cast("long").alias("log"), F.col("event_id").alias("record"), (F.col("event_id") * 7919 % 70_000).alias("length")))
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(F.decode("user_key", "UTF-8").alias("user_key"), F.decode("value", "UTF-8").alias("value"))
+
+
+@query(ORACLE_SQL["kv_full_scan"])
+def store_scan(spark, d):
+    """Two batches, a compaction, another one, all read after the store is opened anew."""
+    path, log, n = src.workspace(spark), src.events_log(spark, d), src.last_seq(spark, d)
+    e = Engine.open(spark, path, Options(disable_auto_compaction=True))
+    e.apply(src.operations(log.where(F.col("seq") <= n // 2)))
+    e.compact_once(force=True)
+    e.apply(src.operations(log.where(F.col("seq") > n // 2)))
+    e.compact_once(force=True)
+    e.vacuum()
+    return _text(Engine.open(spark, path).scan())
+
+
+@query(ORACLE_SQL["kv_as_of"])
+def store_snapshot(spark, d):
+    """What a snapshot sees after later writes and a compaction."""
+    log, n = src.events_log(spark, d), src.last_seq(spark, d)
+    e = Engine.open(spark, src.workspace(spark), Options(disable_auto_compaction=True))
+    e.apply(src.operations(log.where(F.col("seq") <= n // 2)))
+    with e.snapshot() as seq:
+        e.apply(src.operations(log.where(F.col("seq") > n // 2)))
+        e.compact_once(force=True)
+        return _text(e.scan(seq))
+
+
+@query(ORACLE_SQL["kv_multi_get"])
+def store_multi_get(spark, d):
     log = src.events_log(spark, d)
-    e = log.select(F.lit(1).alias("job"), "user_key", "seq", (F.length("user_key") + F.length("value") + 12).alias("bytes"))
-    return encoding.cut_outputs(e, "job", 64 * 1024).groupBy("part").agg(F.count("*").alias("entries"), F.min("user_key").alias("smallest"), F.max("user_key").alias("largest"))
+    e = Engine.open(spark, src.workspace(spark), Options(disable_auto_compaction=True))
+    e.apply(src.operations(log))
+    return _text(e.multi_get(_probes(log).select(F.encode("user_key", "UTF-8").alias("user_key"))))
+
+
+@query(ORACLE_SQL["kv_full_scan"])
+def store_ingest(spark, d):
+    """A stream of files of operations, in batches, into a store."""
+    path = src.workspace(spark)
+    src.operations(src.events_log(spark, d)).repartitionByRange(4, "op_no").sortWithinPartitions("op_no").write.parquet(f"{path}-in")
+    # all files make one batch, which is ordered by op_no
+    e = Engine.open(spark, path, Options(disable_auto_compaction=True))
+    ingest(spark, e, f"{path}-in", f"{path}-checkpoint").awaitTermination()
+    return _text(e.scan())
 
 
 @query("WITH log AS (SELECT printf('c%06d', o_custkey) AS user_key, o_orderkey + 1 AS seq, o_orderstatus = 'F' AS gone, o_orderpriority AS value FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) AS n FROM log) SELECT user_key, value FROM r WHERE n = 1 AND NOT gone")

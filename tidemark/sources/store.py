@@ -2,22 +2,26 @@
 
 Data files are written first, then one edit file appears by rename: the commit
 point. Readers take files from the edits, never from the directory, so what a
-failed writer left is invisible and is cleaned up on the next open.
+failed writer left is invisible; :meth:`Engine.vacuum` deletes it.
 
-    data/NNNNNN/     a sorted run, or the output of a compaction
+    data/NNNNNN/r=K/  one file: a range of keys of a run or of a compaction's output
     edits/NNNNNN.json one edit
+
+Files hold about ``TARGET_FILE_BYTES``, each with its own bounds, so that a
+compaction reads only the files of the next level that it meets.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import levels, merge, versions
-from ..schema import COMPARATOR, DELETE, L0_STOP, L0_TRIGGER, MAX_SEQ, MUTATIONS, NUM_LEVELS, PUT, Corrupted, InvalidArgument, Options
+from ..schema import COMPARATOR, DELETE, L0_STOP, L0_TRIGGER, MAX_SEQ, MUTATIONS, NUM_LEVELS, PUT, TARGET_FILE_BYTES, Corrupted, InvalidArgument, Options
 
 
 class Engine:
@@ -30,6 +34,7 @@ class Engine:
         self.files: dict[tuple[int, int], dict] = {}
         self.last_seq, self.next_file, self.edit_no = 0, 1, 0
         self.pointers: dict[int, bytes] = {}
+        self.batches: dict[str, int] = {}
 
     # ---- files
 
@@ -49,17 +54,18 @@ class Engine:
         if fs.exists(root) and fs.listStatus(root) and "edits" not in e._names(""):
             raise InvalidArgument(f"{path} is not empty and holds no store")
         names = [n for n in e._names("edits") if n.endswith(".json") and n[:-5].isdigit()]
+        if names:  # one scan for all edits
+            texts = spark.read.option("wholetext", True).text([f"{e.path}/edits/{n}" for n in names]).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("n"), "value")
+            found = {r.n: r.value for r in texts.collect()}
         for n in names:
-            text = "\n".join(r[0] for r in spark.read.text(f"{e.path}/edits/{n}").collect())
             try:
-                edit = json.loads(text)
+                edit = json.loads(found.get(n, ""))
             except ValueError as x:
                 raise Corrupted(f"edit {n}: {x}") from x
             e._apply(edit)
             e.edit_no = int(n[:-5])
         if not names:
             e._commit({"comparator": COMPARATOR})
-        e.clean()
         return e
 
     def _apply(self, edit: dict) -> None:
@@ -73,6 +79,7 @@ class Engine:
         self.next_file = max(self.next_file, edit.get("next_file", 0))
         for lv, k in edit.get("pointers", []):
             self.pointers[lv] = bytes.fromhex(k)
+        self.batches |= edit.get("batches", {})
 
     def _commit(self, edit: dict) -> None:
         edit |= {"last_seq": max(self.last_seq, edit.get("last_seq", 0)), "next_file": self.next_file}
@@ -89,12 +96,16 @@ class Engine:
         self._apply(edit)
 
     def clean(self) -> list[str]:
-        """Delete data that no edit holds; what it deleted."""
-        live = {f"{n:06d}" for _, n in self.files}
-        gone = [n for n in self._names("data") if n.isdigit() and n not in live]
-        for n in gone:
-            fs, p = self._fs(f"{self.path}/data/{n}")
-            fs.delete(p, True)
+        """Delete data that no edit holds; what it deleted. Not while another writer or a reader of older files is at work."""
+        live = {f["dir"] for f in self.files.values()}
+        gone = []
+        for top in self._names("data"):
+            own = [f"data/{top}/{n}" for n in self._names(f"data/{top}")]
+            dead = own if not any(d in live for d in own) else [d for d in own if d.split("/")[-1].startswith("r=") and d not in live]
+            for d in [f"data/{top}"] if len(dead) == len(own) else dead:
+                fs, p = self._fs(f"{self.path}/{d}")
+                fs.delete(p, True)
+                gone.append(d)
         fs, _ = self._fs(self.path)
         for n in self._names("edits"):
             if n.endswith(".tmp"):
@@ -109,63 +120,82 @@ class Engine:
     def delete(self, key: bytes) -> int:
         return self.apply(self.spark.createDataFrame([(0, DELETE, key, None)], "op_no long, vtype int, user_key binary, value binary"))
 
-    def apply(self, ops: DataFrame) -> int:
-        """Append a batch (op_no, vtype, user_key, value) as one sorted run, in the order of op_no; the last sequence number.
+    def apply(self, ops: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Append operations (op_no, vtype, user_key, value) as sorted runs, in the order of op_no; the last sequence number.
 
-        Numbers come from counts of ranges of op_no, not from one global window.
+        op_no tells operations apart and mustn't repeat. They are written once,
+        in ranges of op_no, and numbered from these files by the counts of the
+        ranges, so that a lost executor can't change a number. ``batch`` names a
+        source and its batch; a batch that the store has seen is left out.
         """
+        if batch and self.batches.get(batch[0], -1) >= batch[1]:
+            return self.last_seq
         n_parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        ops = ops.select("op_no", "vtype", "user_key", "value")
-        ranged = ops.repartitionByRange(n_parts, "op_no").sortWithinPartitions("op_no").withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        ranged = ranged.persist()
+        stage = f"{self.path}/stage/{uuid.uuid4().hex}"
+        ranged = ops.select("op_no", "vtype", "user_key", "value").repartitionByRange(n_parts, "op_no").sortWithinPartitions("op_no")
+        ranged.withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(stage)
         try:
-            stats = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce(F.length("user_key"), F.lit(0)) == 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("vtype").isin(PUT, DELETE), 0).otherwise(1)).alias("odd")).collect()
+            staged = self.spark.read.parquet(stage)
+            bad, odd = (F.sum(c.cast("long")) for c in (F.coalesce(F.length("user_key"), F.lit(0)) == 0, ~F.coalesce(F.col("vtype").isin(PUT, DELETE), F.lit(False))))
+            size = F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0))
+            stats = staged.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("op_no").alias("d"), bad.alias("bad"), odd.alias("odd"), F.sum(size).alias("b")).collect()
             if any(r.bad for r in stats):
                 raise InvalidArgument("a key is empty")
             if any(r.odd for r in stats):
                 raise InvalidArgument("a version is neither put nor delete")
-            if not stats:
-                return self.last_seq
-            at, ahead = [], self.last_seq
-            for r in sorted(stats, key=lambda r: r["__p"]):
-                at.append((r["__p"], ahead))
-                ahead += r.n
-            rows = ranged.join(F.broadcast(self.spark.createDataFrame(at, "__p int, __o long")), "__p")
-            value = F.when(F.col("vtype") == DELETE, F.lit(b"")).otherwise(F.coalesce("value", F.lit(b"")))
-            log = rows.select("user_key", (F.col("__o") + F.col("__i") + 1).alias("seq"), F.col("vtype").cast("tinyint").alias("vtype"), value.alias("value"))
-            self._commit({"added": self._write(log, 0), "last_seq": ahead})
+            if any(r.d < r.n for r in stats):
+                raise InvalidArgument("an op_no is null or stands twice")
+            edit: dict = {"batches": {batch[0]: batch[1]}} if batch else {}
+            if stats:
+                at, ahead = [], self.last_seq
+                for r in sorted(stats, key=lambda r: r.p):
+                    at.append((r.p, ahead))
+                    ahead += r.n
+                rows = staged.join(F.broadcast(self.spark.createDataFrame(at, "p int, o long")), "p")
+                value = F.when(F.col("vtype") == DELETE, F.lit(b"")).otherwise(F.coalesce("value", F.lit(b"")))
+                log = rows.select("user_key", (F.col("o") + F.col("i") + 1).alias("seq"), F.col("vtype").cast("tinyint").alias("vtype"), value.alias("value"))
+                edit |= {"added": self._write(log, 0, sum(r.b + 9 * r.n for r in stats)), "last_seq": ahead}
+            if edit:
+                self._commit(edit)
         finally:
-            ranged.unpersist()
+            fs, p = self._fs(stage)
+            fs.delete(p, True)
         if not self.options.disable_auto_compaction:
-            while sum(lv == 0 for lv, _ in self.files) >= L0_STOP and self.compact_once():
+            while len(self._runs()) >= L0_STOP and self.compact_once():
                 pass
         return self.last_seq
 
-    def _write(self, log: DataFrame, level: int) -> list[dict]:
-        """Write one sorted data directory; its description, or nothing for no rows.
+    def _runs(self) -> set[str]:
+        """Runs at level 0; the ranges of one run count once."""
+        return {f["dir"].split("/")[1] for (lv, _), f in self.files.items() if lv == 0}
+
+    def _write(self, log: DataFrame, level: int, n_bytes: int) -> list[dict]:
+        """Write sorted rows as files of about the target size, one range of keys each; their descriptions.
 
         All versions of a key are in one file, as ranges are cut by keys alone.
         """
-        n, self.next_file = self.next_file, self.next_file + 1
-        path = f"{self.path}/data/{n:06d}"
-        (log.repartitionByRange("user_key").sortWithinPartitions("user_key", F.desc("seq")).write.option("parquet.bloom.filter.enabled#user_key", "true").parquet(path))
+        n = max(1, -(-n_bytes // TARGET_FILE_BYTES))
+        base = self.next_file
+        path = f"{self.path}/data/{base:06d}"
+        ranged = log.repartitionByRange(n, "user_key").withColumn("r", F.spark_partition_id()).sortWithinPartitions("user_key", F.desc("seq"))
+        ranged.write.partitionBy("r").option("parquet.bloom.filter.enabled#user_key", "true").parquet(path)
         size = F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 9
-        r = self.spark.read.schema(MUTATIONS).parquet(path).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.min("user_key").alias("lo"), F.max("user_key").alias("hi")).first()
-        if not r.n:
-            return []
-        return [{"level": level, "number": n, "file_size": int(r.b), "entries": int(r.n), "smallest": bytes(r.lo).hex(), "largest": bytes(r.hi).hex()}]
+        found = self.spark.read.parquet(path) if any(x.startswith("r=") for x in self._names(f"data/{base:06d}")) else None
+        stats = [] if found is None else found.groupBy("r").agg(F.count("*").alias("n"), F.sum(size).alias("b"), F.min("user_key").alias("lo"), F.max("user_key").alias("hi")).collect()
+        self.next_file = base + n
+        return [{"level": level, "number": base + r.r, "dir": f"data/{base:06d}/r={r.r}", "file_size": int(r.b), "entries": int(r.n), "smallest": bytes(r.lo).hex(), "largest": bytes(r.hi).hex()} for r in sorted(stats, key=lambda r: r.r)]
 
     # ---- reads
 
     def log(self) -> DataFrame:
         """All stored versions."""
-        paths = [f"{self.path}/data/{n:06d}" for _, n in sorted(self.files)]
+        paths = [f"{self.path}/{f['dir']}" for _, f in sorted(self.files.items())]
         return self.spark.read.schema(MUTATIONS).parquet(*paths) if paths else self.spark.createDataFrame([], MUTATIONS)
 
     def get(self, key: bytes, seq: int = MAX_SEQ) -> bytes | None:
         """The visible value of a key, from the files whose range holds it."""
         k = key.hex()
-        paths = [f"{self.path}/data/{n:06d}" for (_, n), f in self.files.items() if f["smallest"] <= k <= f["largest"]]
+        paths = [f"{self.path}/{f['dir']}" for f in self.files.values() if f["smallest"] <= k <= f["largest"]]
         if not paths:
             return None
         r = versions.get(self.spark.read.schema(MUTATIONS).parquet(*paths), key, seq).first()
@@ -202,19 +232,24 @@ class Engine:
 
     def compact_once(self, force: bool = False) -> bool:
         """Merge the neediest level into the next one; whether anything was done. Below a score of 1 only by ``force``."""
-        best = sorted(levels.compaction_score(self.files_df()).collect(), key=lambda r: (-r.score, r.level))
-        if not best or not force and best[0].score < 1 and sum(lv == 0 for lv, _ in self.files) < L0_TRIGGER:
-            return False
-        level = best[0].level
-        picked = levels.pick_inputs(self.files_df(), level, self.pointers.get(level)).where("role <> 'grandparent'").collect()
-        if not picked:
+        files = self.files_df()
+        scores = {r.level: r.score for r in levels.compaction_scores(files).collect()}
+        if 0 in scores:  # a run's ranges are one file of level 0
+            scores[0] = len(self._runs()) / L0_TRIGGER
+        for level in sorted(scores, key=lambda lv: (-scores[lv], lv)):
+            if not force and scores[level] < 1:
+                return False
+            picked = levels.pick_inputs(files, level, self.pointers.get(level)).where("role <> 'grandparent'").collect()
+            if picked:
+                break
+        else:
             return False
         dead = [(r.level, r.number) for r in picked]
         oldest = min(self.oldest_snapshot(), self.last_seq)
-        log = self.spark.read.schema(MUTATIONS).parquet(*(f"{self.path}/data/{n:06d}" for _, n in dead))
-        deeper = self.files_df().where(F.col("level") >= level + 2)
+        log = self.spark.read.schema(MUTATIONS).parquet(*(f"{self.path}/{self.files[d]['dir']}" for d in dead))
+        deeper = files.where(F.col("level") >= level + 2)
         kept = merge.retain(log, oldest, deeper if deeper.limit(1).count() else None)
-        added = self._write(kept, level + 1)
+        added = self._write(kept, level + 1, sum(self.files[d]["file_size"] for d in dead))
         top = max((self.files[d]["largest"] for d in dead if d[0] == level), default="")
         self._commit({"deleted": dead, "added": added, "pointers": [[level, top]]})
         return True

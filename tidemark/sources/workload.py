@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new path for a store: in the folder the cluster shares, or a temporary one in a local session."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        top = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{top.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def operations(log: DataFrame) -> DataFrame:
+    """A change log as operations in the order of seq."""
+    return log.select(F.col("seq").alias("op_no"), F.col("vtype").cast("int").alias("vtype"), F.encode("user_key", "UTF-8").alias("user_key"), F.encode("value", "UTF-8").alias("value"))
+
+
 def events_log(spark: SparkSession, sf_dir: str, upto: int | None = None) -> DataFrame:
     """user_key, seq, vtype, value: every event is a version of its user, errors are deletions.
 
