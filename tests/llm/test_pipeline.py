@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from tidemark.llm import simhash
+from pyspark.sql import functions as F
+
+from tidemark.llm import near_links, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +51,54 @@ def test_groups_of_texts_joined_by_no_centre(spark):
             w[(k * 3 + i) * 5 % 200] = f"q{k}x{i}"
         chain.append((k, " ".join(w)))
     assert near(spark, chain) == [chain[0]]
+
+
+def shingles(text, width=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def alike(x, y):
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def shared_passage(rng, n):
+    """Texts that have most words in common, some of them enough to be alike, some in chains."""
+    common, out = words(rng, 70), []
+    for k in range(n):
+        if k % 3 and out:
+            w = list(rng.choice(out))
+            for _ in range(rng.randint(1, 5)):
+                w[rng.randrange(len(w))] = f"e{k}"
+        else:
+            w = common + words(rng, rng.randint(12, 60))
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def test_groups_by_prefixes_agree_with_all_pairs(spark):
+    texts = shared_passage(random.Random(4), 90)
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for i, g in enumerate(group):
+        first.setdefault(g, i)
+    assert 20 < len(first) < len(texts) - 20
+    assert [i for i, _ in near(spark, list(enumerate(texts)))] == sorted(first.values(), key=lambda i: str((i, texts[i])))
+
+
+def test_prefixes_meet_every_pair_that_is_alike(spark):
+    texts = [*shared_passage(random.Random(5), 60), "", "one", "one two", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce("t", F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    sets = {r.th: shingles(r.t) for r in rows.collect()}
+    nodes = spark.createDataFrame([(h, len(x), h) for h, x in sets.items()], "th long, size long, root long")
+    met = {(r.a, r.b) for r in near_links.met_by_prefix(nodes, rows).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and alike(sets[a], sets[b])}
+    assert want and want <= met
+    assert len(met) < len(sets) * (len(sets) - 1) // 4
+    # texts of one component don't meet
+    assert near_links.met_by_prefix(nodes.withColumn("root", F.lit(1).cast("long")), rows).count() == 0

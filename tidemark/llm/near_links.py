@@ -6,12 +6,15 @@ s, 0.9999 at 0.8 and more above. SimHash links within 3 bits are candidates as
 well. Every candidate is then decided by its exact sets of shingles.
 
 First, each text is held against the smallest text of each of its groups, which
-joins near copies of one text by as many links as there are texts. In groups
-that are not joined by these, all pairs of texts from different components
-follow, so no candidate is skipped; only pairs that are joined already are
-not held against each other, nor those whose numbers of shingles rule the
-likeness out. A group of many texts that are not alike costs the
-square of its size.
+joins near copies of one text by as many links as there are texts. The texts of
+groups that these leave in several components are then joined by prefixes: in
+an order of all shingles from rare to common, two sets with a likeness of at
+least s share one of the first m - ceil(s * m) + 1 of each set of m shingles. So
+texts of different components meet by these only, and only where the numbers of
+shingles and the places of the shared one allow the likeness. No pair that is
+alike is skipped, and a passage that many texts have makes no candidates unless
+it fills them. A common shingle's rows are met by a sort-merge join, which the
+session's adaptive execution splits where one partition is far larger than the rest.
 
 Texts without words have equal, empty sets and are alike. Texts of fewer than
 ``width`` words have one shingle. Case of ASCII letters is ignored.
@@ -23,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fingerprints, simhash
 from . import textnum as T
-from .common import durable
+from .common import durable, forget
 from .components import components
 
 LEAST = 0.8
@@ -98,10 +101,48 @@ def _alike(width: int, least: float):
     return f
 
 
+def _shingles(width: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in T.slices(b.column(0), SLICE_BYTES):
+                who, h = fingerprints.sketch(b.column(0).slice(i, j - i), 1.0, width)
+                th = b.column(1).slice(i, j - i).to_numpy()
+                for a in range(0, len(h), 1 << 18):
+                    yield pa.RecordBatch.from_pydict({"h": h[a : a + (1 << 18)].view(np.int64), "th": th[who[a : a + (1 << 18)]]})
+        T.trim()
+
+    return f
+
+
+def _texts(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """t, th of the texts whose hash is in ``need``, each once."""
+    return texts.join(need, "th", "left_semi").select("t", "th").mapInArrow(_once, "t string, th long").dropDuplicates(["th"])
+
+
+def met_by_prefix(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of different components that may have the likeness. nodes: th, size (number of shingles), root; texts: t, th."""
+    every = durable(_texts(texts, nodes.select("th")).mapInArrow(_shingles(width), "h long, th long"), "shingles")
+    common = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # counted from the commonest shingle down, the rank is the number of shingles from this one on
+    rank = F.row_number().over(Window.partitionBy("th").orderBy(F.desc("df"), F.desc("h")))
+    pre = every.join(common.hint("merge"), "h").select("h", "th", rank.alias("r")).join(nodes, "th").where(F.col("r") >= F.ceil(F.col("size") * least - 1e-9))
+    pre = durable(pre, "prefix")
+    split = pre.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    var = durable(pre.join(split, "h"), "split")
+    kinds = var.select("h", "root").distinct().select("h", F.col("root").alias("other"))
+    left = var.join(kinds, "h").where("root < other").select("h", "other", F.col("th").alias("a"), F.col("size").alias("m"), F.col("r").alias("i"))
+    right = var.select("h", F.col("root").alias("other"), F.col("th").alias("b"), F.col("size").alias("n"), F.col("r").alias("j"))
+    sizes = F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
+    places = F.least("i", "j") >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9
+    out = durable(_ordered(left.join(right, ["h", "other"]).where(sizes & places).select("a", "b")), "met")
+    forget(nodes.sparkSession, every, pre, var)
+    return out
+
+
 def alike(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """Of the pairs (a long, b long: text hashes), those whose shingle sets have at least the likeness. texts: t, th."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-    some = durable(texts.join(need, "th", "left_semi").select("t", "th").mapInArrow(_once, "t string, th long").dropDuplicates(["th"]), "some")
+    some = durable(_texts(texts, need), "some")
     x = some.select(F.col("t").alias("ta"), F.col("th").alias("a"))
     y = some.select(F.col("t").alias("tb"), F.col("th").alias("b"))
     met = pairs.join(x, "a").join(y, "b").select("ta", "tb", "a", "b")
@@ -128,17 +169,11 @@ def roots(documents: DataFrame, text: str = "text", width: int = WIDTH, least: f
     pairs = pairs.unionByName(near.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     pairs = durable(_ordered(pairs), "pairs")
     links = durable(alike(pairs, rows, width, least), "alike")
-    # groups in more than one component: every text meets the texts of the other components
+    # the texts of groups in more than one component meet by their rare shingles
     node = components(links).withColumnRenamed("node", "th")
     var = var.where("n > 2").select("key", "th", "size").join(node, "th", "left").select("key", "th", "size", F.coalesce("root", "th").alias("root"))
     split = var.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    var = durable(var.join(split, "key"), "split")
-    kinds = var.select("key", "root").distinct().select("key", F.col("root").alias("other"))
-    left = var.join(kinds, "key").where("root < other").select("key", "other", F.col("th").alias("a"), F.col("size").alias("m"))
-    right = var.select("key", F.col("root").alias("other"), F.col("th").alias("b"), F.col("size").alias("n"))
-    fits = F.least("m", "n") >= F.greatest("m", "n") * (least - 1e-9)  # sets of sizes further apart can't be alike
-    met = left.join(right, (left.key == right.key) & (left.other == right.other) & fits)
-    more = _ordered(met.select("a", "b"))
-    more = durable(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    nodes = durable(var.join(split, "key").select("th", "size", "root").distinct(), "split")
+    more = durable(met_by_prefix(nodes, rows, width, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(alike(more, rows, width, least))
     return components(links).select(F.col("node").alias("th"), "root")
