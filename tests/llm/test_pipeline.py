@@ -96,9 +96,12 @@ def test_prefixes_meet_every_pair_that_is_alike(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce("t", F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
     sets = {r.th: shingles(r.t) for r in rows.collect()}
     nodes = spark.createDataFrame([(h, len(x), h) for h, x in sets.items()], "th long, size long, root long")
-    met = {(r.a, r.b) for r in near_links.met_by_prefix(nodes, rows).collect()}
+    pre = near_links.prefixes(nodes, rows)
+    met = {(r.a, r.b) for r in near_links.met_by_prefix(pre, nodes).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and alike(sets[a], sets[b])}
     assert want and want <= met
     assert len(met) < len(sets) * (len(sets) - 1) // 4
     # texts of one component don't meet
-    assert near_links.met_by_prefix(nodes.withColumn("root", F.lit(1).cast("long")), rows).count() == 0
+    one = nodes.withColumn("root", F.lit(1).cast("long"))
+    assert near_links.met_by_prefix(pre, one).count() == near_links.centre_pairs(pre, one).count() == 0
+    assert {(r.a, r.b) for r in near_links.centre_pairs(pre, nodes).collect()} <= met

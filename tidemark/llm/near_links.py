@@ -11,8 +11,10 @@ groups that these leave in several components are then joined by prefixes: in
 an order of all shingles from rare to common, two sets with a likeness of at
 least s share one of the first m - ceil(s * m) + 1 of each set of m shingles. So
 texts of different components meet by these only, and only where the numbers of
-shingles and the places of the shared one allow the likeness. No pair that is
-alike is skipped, and a passage that many texts have makes no candidates unless
+shingles and the places of the shared one allow the likeness: first each text
+and the text of a shingle that has the largest part of its own shingles from
+there on, which stands nearest to what many have in common and joins most of
+them; then all that are still apart. No pair that is alike is skipped, and a passage that many texts have makes no candidates unless
 it fills them. A common shingle's rows are met by a sort-merge join, which the
 session's adaptive execution splits where one partition is far larger than the rest.
 
@@ -119,23 +121,50 @@ def _texts(texts: DataFrame, need: DataFrame) -> DataFrame:
     return texts.join(need, "th", "left_semi").select("t", "th").mapInArrow(_once, "t string, th long").dropDuplicates(["th"])
 
 
-def met_by_prefix(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b) of different components that may have the likeness. nodes: th, size (number of shingles), root; texts: t, th."""
+def prefixes(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """h, th, size, r: the rare shingles of every text by which an alike text must meet it; r is the number of shingles from h on. nodes: th, size; texts: t, th."""
     every = durable(_texts(texts, nodes.select("th")).mapInArrow(_shingles(width), "h long, th long"), "shingles")
     common = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # counted from the commonest shingle down, the rank is the number of shingles from this one on
     rank = F.row_number().over(Window.partitionBy("th").orderBy(F.desc("df"), F.desc("h")))
-    pre = every.join(common.hint("merge"), "h").select("h", "th", rank.alias("r")).join(nodes, "th").where(F.col("r") >= F.ceil(F.col("size") * least - 1e-9))
-    pre = durable(pre, "prefix")
-    split = pre.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    var = durable(pre.join(split, "h"), "split")
+    pre = every.join(common.hint("merge"), "h").select("h", "th", rank.alias("r")).join(nodes.select("th", "size"), "th")
+    pre = durable(pre.where(F.col("r") >= F.ceil(F.col("size") * least - 1e-9)).select("h", "th", "size", "r"), "prefix")
+    forget(nodes.sparkSession, every)
+    return pre
+
+
+def _undecided(pre: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The prefixes with the roots of their texts, where a shingle stands in texts of several components. nodes: th, root."""
+    var = pre.join(nodes.select("th", "root"), "th")
+    split = var.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    return durable(var.join(split, "h"), "undecided")
+
+
+def _fits(least: float):
+    """Whether numbers of shingles m, n and places i, j of a shared one allow the likeness."""
+    sizes = F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
+    return sizes & (F.least("i", "j") >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9)
+
+
+def centre_pairs(pre: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of each text with the text of each of its shingles that has the largest part of its own shingles from there on."""
+    var = _undecided(pre, nodes)
+    best = F.max_by(F.struct("th", "size", "r", "root"), F.struct(F.col("r") / F.col("size"), F.col("th"))).alias("c")
+    met = var.join(var.groupBy("h").agg(best), "h").where("root <> c.root")
+    met = met.select(F.col("c.th").alias("a"), F.col("c.size").alias("m"), F.col("c.r").alias("i"), F.col("th").alias("b"), F.col("size").alias("n"), F.col("r").alias("j"))
+    out = durable(_ordered(met.where(_fits(least)).select("a", "b")), "pairs")
+    forget(pre.sparkSession, var)
+    return out
+
+
+def met_by_prefix(pre: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """All pairs (a, b) of texts of different components that may have the likeness. pre: of :func:`prefixes`; nodes: th, root."""
+    var = _undecided(pre, nodes)
     kinds = var.select("h", "root").distinct().select("h", F.col("root").alias("other"))
     left = var.join(kinds, "h").where("root < other").select("h", "other", F.col("th").alias("a"), F.col("size").alias("m"), F.col("r").alias("i"))
     right = var.select("h", F.col("root").alias("other"), F.col("th").alias("b"), F.col("size").alias("n"), F.col("r").alias("j"))
-    sizes = F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
-    places = F.least("i", "j") >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9
-    out = durable(_ordered(left.join(right, ["h", "other"]).where(sizes & places).select("a", "b")), "met")
-    forget(nodes.sparkSession, every, pre, var)
+    out = durable(_ordered(left.join(right, ["h", "other"]).where(_fits(least)).select("a", "b")), "met")
+    forget(pre.sparkSession, var)
     return out
 
 
@@ -174,6 +203,10 @@ def roots(documents: DataFrame, text: str = "text", width: int = WIDTH, least: f
     var = var.where("n > 2").select("key", "th", "size").join(node, "th", "left").select("key", "th", "size", F.coalesce("root", "th").alias("root"))
     split = var.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     nodes = durable(var.join(split, "key").select("th", "size", "root").distinct(), "split")
-    more = durable(met_by_prefix(nodes, rows, width, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(alike(more, rows, width, least))
-    return components(links).select(F.col("node").alias("th"), "root")
+    pre = prefixes(nodes, rows, width, least)
+    for meet in (centre_pairs, met_by_prefix):
+        more = durable(meet(pre, nodes, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = durable(links.unionByName(alike(more, rows, width, least)), "alike")
+        node, pairs = components(links).withColumnRenamed("node", "th"), pairs.unionByName(more)
+        nodes = nodes.select("th").join(node, "th", "left").select("th", F.coalesce("root", "th").alias("root"))
+    return node
