@@ -68,9 +68,20 @@ def band_keys(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return keys, np.bincount(who, minlength=n)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each text hash in a task. It runs inside the function that reads the rows, as a node of its own would need a second worker."""
+    seen: set[int] = set()
+    for b in batches:
+        take = []
+        for i, h in enumerate(b.column(1).to_pylist()):
+            if h not in seen:
+                seen.add(h), take.append(i)
+        yield b.take(pa.array(take, pa.int64()))
+
+
 def _bands(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _once(batches):
             for i, j in T.slices(b.column(0), SLICE_BYTES):
                 keys, size = band_keys(b.column(0).slice(i, j - i), width)
                 th = np.repeat(b.column(1).slice(i, j - i).to_numpy(), BANDS)
@@ -80,15 +91,12 @@ def _bands(width: int):
     return f
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each text hash in a task."""
-    seen: set[int] = set()
-    for b in batches:
-        take = []
-        for i, h in enumerate(b.column(1).to_pylist()):
-            if h not in seen:
-                seen.add(h), take.append(i)
-        yield b.take(pa.array(take, pa.int64()))
+def _prints(width: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from simhash.batch_fingerprints(width)(_once(batches))
+        T.trim()
+
+    return f
 
 
 def _alike(width: int, least: float):
@@ -185,11 +193,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def roots(documents: DataFrame, text: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """th (xxhash64 of the text, null as empty), root for every text that has a link; root is the smallest th reachable."""
     rows = documents.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
-    once = rows.mapInArrow(_once, "t string, th long")
-    var = durable(once.mapInArrow(_bands(width), "key long, th long, size long").distinct(), "bands")
+    var = durable(rows.mapInArrow(_bands(width), "key long, th long, size long").distinct(), "bands")
     met = var.groupBy("key").agg(F.count("*").alias("n"), F.min("th").alias("c")).where("n > 1")
     var = durable(var.join(met, "key"), "shared")
-    fps = durable(simhash.fingerprints(once, ["th"], "t", width).distinct(), "fps")
+    fps = durable(rows.mapInArrow(_prints(width), "th long, fp long").distinct(), "fps")
     least_of = durable(fps.groupBy("fp").agg(F.min("th").alias("c")), "nodes")
     near = simhash.links(least_of.select("fp"))
     x, y = least_of.select(F.col("fp").alias("a"), F.col("c").alias("x")), least_of.select(F.col("fp").alias("b"), F.col("c").alias("y"))

@@ -52,7 +52,7 @@ def _hashes(w: list[bytes], width: int) -> list[int]:
     return [x(s, SEED) for s in map(b" ".join, zip(*(w[i:] for i in range(width))))]
 
 
-def _fingerprints(width: int):
+def batch_fingerprints(width: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n = b.column(0), len(b)
@@ -86,7 +86,7 @@ def fingerprints(documents: DataFrame, keep: list[str], text: str = "text", widt
     """Columns ``keep`` and fp, a 64-bit fingerprint as a signed long."""
     d = documents.select(F.col(text).alias("__text"), *keep)
     schema = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in keep)
-    return d.mapInArrow(_fingerprints(width), f"{schema}, fp long")
+    return d.mapInArrow(batch_fingerprints(width), f"{schema}, fp long")
 
 
 _ODD = np.array([bin(i).count("1") & 1 for i in range(1 << 16)], np.uint8)
