@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,27 +284,25 @@ def score(documents: DataFrame, m: Model, text: str = "text", out: str = "score"
     """
     shared = documents.sparkSession.sparkContext.broadcast(m)
 
-    def parts(col: pd.Series) -> Iterator[tuple]:
-        arr = pa.array(col, pa.string(), from_pandas=True)
-        for i, j in T.slices(arr, SLICE_BYTES):
-            best, total, n, found = _scan(shared.value, shared.value.weights, arr.slice(i, j - i))
-            yield probability(shared.value, best, total, n), found
-
-    @F.pandas_udf("double")
-    def f(col: pd.Series) -> pd.Series:
-        got = [p for p, _ in parts(col)]
-        return pd.Series(np.concatenate(got) if got else np.zeros(0))
-
-    @F.pandas_udf("struct<p: double, first: array<int>, end: array<int>, x: array<double>>")
-    def g(col: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, (row, first, end, _, x) in parts(col):
-            own: list[tuple] = [(v, [], [], []) for v in p]
-            for k in np.flatnonzero(x > 0):
-                for out_, v in zip(own[row[k]][1:], (first[k], end[k], x[k])):
-                    out_.append(v)
-            rows += own
-        return pd.DataFrame(rows, columns=["p", "first", "end", "x"])
+    def parts(col: pa.Array) -> Iterator[tuple]:
+        for i, j in T.slices(col, SLICE_BYTES):
+            best, total, n, found = _scan(shared.value, shared.value.weights, col.slice(i, j - i))
+            yield i, probability(shared.value, best, total, n), found
+
+    @F.arrow_udf("double")
+    def f(col: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(p for _, p, _ in parts(col))]))
+
+    @F.arrow_udf("struct<p: double, first: array<int>, end: array<int>, x: array<double>>")
+    def g(col: pa.Array) -> pa.Array:
+        p, spans = [np.zeros(0)], [np.zeros((0, 4))]
+        for i, own, (row, first, end, _, x) in parts(col):
+            p.append(own)
+            spans.append(np.column_stack([row + i, first, end, x])[x > 0])
+        at = np.concatenate(spans)  # in the order of rows
+        off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(at[:, 0].astype(np.int64), minlength=len(col)))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(off, pa.array(at[:, k].astype(t))) for k, t in ((1, np.int32), (2, np.int32), (3, np.float64))]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(p)), *lists], names=["p", "first", "end", "x"])
 
     if passages is None:
         return documents.withColumn(out, f(F.col(text)))
