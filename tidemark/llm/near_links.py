@@ -24,11 +24,12 @@ Texts without words have equal, empty sets and are alike. Texts of fewer than
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fingerprints, simhash
@@ -40,6 +41,8 @@ LEAST = 0.8
 WIDTH = 5
 BANDS, ROWS = 24, 5
 SLICE_BYTES = 512 << 10
+#: Ratio of the sizes at the ends of a cell.
+STEP = 1.03
 _SALT = T.mix64(np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64) * np.uint64(T.BASE))
 
 
@@ -165,14 +168,37 @@ def centre_pairs(pre: DataFrame, nodes: DataFrame, least: float = LEAST) -> Data
     return out
 
 
+def _cells(var: DataFrame, least: float) -> DataFrame:
+    """The rows with ``own``, the cell of the text's size, and ``to``, once for each cell in which an alike text may be that meets it here.
+
+    By :func:`_fits` a text of m shingles that shares its r-th meets only texts
+    of least * m to r * (1 + least) / least - m shingles. Cells are steps of the
+    logarithm of the size, so up to 1 / log(STEP) of them hold one size alone.
+    """
+    lo = F.ceil(F.col("size") * least - 1e-9)
+    hi = F.floor(F.col("r") * ((1 + least) / least) - F.col("size") + 1e-6)
+
+    def cell(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
+
+    near = var.where(lo <= hi).withColumn("own", cell(F.col("size")))
+    return near.withColumn("to", F.explode(F.sequence(cell(lo), cell(hi))))
+
+
 def met_by_prefix(pre: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """All pairs (a, b) of texts of different components that may have the likeness. pre: of :func:`prefixes`; nodes: th, root."""
+    """All pairs (a, b) of texts of different components that may have the likeness. pre: of :func:`prefixes`; nodes: th, root.
+
+    Rows meet by shingle and by both texts' cells, so texts whose sizes and
+    places of the shingle rule the likeness out don't meet at all.
+    """
     var = _undecided(pre, nodes)
-    kinds = var.select("h", "root").distinct().select("h", F.col("root").alias("other"))
-    left = var.join(kinds, "h").where("root < other").select("h", "other", F.col("th").alias("a"), F.col("size").alias("m"), F.col("r").alias("i"))
-    right = var.select("h", F.col("root").alias("other"), F.col("th").alias("b"), F.col("size").alias("n"), F.col("r").alias("j"))
-    out = durable(_ordered(left.join(right, ["h", "other"]).where(_fits(least)).select("a", "b")), "met")
-    forget(pre.sparkSession, var)
+    rows = durable(_cells(var, least), "cells")
+    by = ["h", "x", "y", "other"]
+    right = rows.select("h", F.col("to").alias("x"), F.col("own").alias("y"), F.col("root").alias("other"), F.col("th").alias("b"), F.col("size").alias("n"), F.col("r").alias("j"))
+    left = rows.select("h", F.col("own").alias("x"), F.col("to").alias("y"), "root", F.col("th").alias("a"), F.col("size").alias("m"), F.col("r").alias("i"))
+    left = left.join(right.select(by).distinct(), by[:3]).where("root < other").drop("root")
+    out = durable(_ordered(left.join(right, by).where(_fits(least)).select("a", "b")), "met")
+    forget(pre.sparkSession, var, rows)
     return out
 
 
