@@ -402,6 +402,31 @@ def test_lm_beats_the_unigram_base_on_held_out_texts(spark):
     assert got[0] > got[1]
 
 
+def test_lm_weights_come_from_all_training_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [words(rng, 40) + f" new{i}" for i in range(30)] + [words(rng, 16000), None, ""]
+    assert len(texts[30]) > 1 << 16
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cells, real = {}, lm_scoring.fit_weights
+    monkeypatch.setattr(lm_scoring, "fit_weights", lambda kind, got: cells.update({kind: got}) or real(kind, got))
+    m = lm_scoring.fit(df, vocabulary=64)[0]
+    # every bit of every text has been counted; before, a tenth of the texts and 200 at most, none over 64 KB
+    t = lm_scoring.read(m.v, pa.array([x or "" for x in texts], pa.large_string()))
+    new = ~t.hit | (m.v.count[t.sym[t.at]] <= 1)
+    sym = t.sym.copy()
+    sym[t.at[new]] = m.v.escape
+    assert sum(cells[lm_scoring.WORD]["n"].to_pylist()) == m.v.words.depth[sym].sum()
+    assert sum(cells[lm_scoring.SPELL]["n"].to_pylist()) == m.v.bytes.depth[lm_scoring.spelled(m.v, t, new)[0]].sum()
+    # a cell's features are those that score, but for steps
+    for x in texts[:10]:
+        t = lm_scoring.read(m.v, pa.array([x], pa.large_string()))
+        own = {k: lm_scoring._own_steps(tree, *s) for k, tree, s in ((0, m.v.words, (8, 31)), (3, m.v.bytes, (4, 15)))}
+        b_sym, _, b_ctx = lm_scoring.spelled(m.v, t, ~t.hit)
+        w, b = lm_scoring.word_cells(m, t, t.sym, own[0]), lm_scoring.byte_cells(m, b_sym, b_ctx, own[3])
+        nats = sum(np.log1p(np.exp(-(lm_scoring.features(k, c.astype(int)) * weights[c >> shift]).sum(1))).sum() for k, c, weights, shift in ((0, w, m.word_weights, 15), (3, b, m.byte_weights, 20)))
+        assert abs(nats + plain_score(m, x.encode().lower().split()) * np.log(10)) < 0.03 * nats
+
+
 def test_lm_tree_and_tables():
     rng = np.random.default_rng(3)
     t = lm_scoring.tree(np.sort(rng.integers(1, 1000, 77))[::-1])

@@ -26,8 +26,10 @@ before they are shuffled, then by ranges of the context. A context must occur
 twice to enter a table, so that a text is no evidence for itself alone. Tables
 have as many slots as contexts were found; where they would pass the memory
 bound (``table_bytes`` each), the most frequent contexts fill it. Weights are
-fitted on ``tuning`` training texts at most, whose own counts are taken off the
-tables they are fitted with; the tables that score hold all rows.
+fitted on all training texts: these are dealt into folds, every fold's bits meet
+tables of the counts of the other folds, and bits of one gate and equal
+predictions (in small steps) are counted together. The tables that score hold
+all rows.
 
 The unigram base is added up exactly: counts of the words with symbols are at
 hand as a text is scored, the others are joined.
@@ -43,7 +45,8 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +62,8 @@ VOCABULARY = 1 << 20
 TABLE_BYTES = 1 << 25
 #: Very common words are those with this share of all tokens.
 FREQUENT = 1 / 512
-#: At most so many training texts, and a tenth, fit the starting weights; none longer than so many bytes.
-TUNING, TUNING_BYTES = 200, 1 << 16
+#: Folds of the training texts for the starting weights.
+FOLDS = 2
 RATE = 0.05
 #: Words after which a text's factors are refined first.
 BLOCK = 64
@@ -287,10 +290,10 @@ def pairs(v: Vocabulary, t: Tokens) -> list[np.ndarray]:
     return [np.concatenate([word, key(t.ctx[0][more], np.full(len(more), v.escape))]), key(t.ctx[1], t.sym), key(t.ctx[2], t.sym), np.concatenate([key(c, b_sym) for c in b_ctx])]
 
 
-GRAMS = "shard int, kind int, tune int, data binary"
+GRAMS = "shard int, kind int, fold int, data binary"
 
 
-def _pairs(shared, shards: int):
+def _pairs(shared, shards: int, folds: int):
     shift = U(64 - (shards - 1).bit_length()) if shards > 1 else None
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,25 +302,26 @@ def _pairs(shared, shards: int):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (kind, tune), parts in sorted(held.items()):
+            for (kind, fold), parts in sorted(held.items()):
                 keys, counts = _sum_by_key(np.concatenate(parts))
                 parts.clear()
                 top = (keys >> shift).astype(np.int64) if shift is not None else np.zeros(len(keys), np.int64)
                 cut = np.flatnonzero(np.diff(top, prepend=-1))
-                got = [(int(top[a]), kind, tune, _pack(keys[a:z], counts[a:z])) for a, z in zip(cut, np.append(cut[1:], len(keys)))]
+                got = [(int(top[a]), kind, fold, _pack(keys[a:z], counts[a:z])) for a, z in zip(cut, np.append(cut[1:], len(keys)))]
                 for x in range(0, len(got), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got[x : x + 64]), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["shard", "kind", "tune", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got[x : x + 64]), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["shard", "kind", "fold", "data"])
             held.clear()
 
         for b in batches:
-            tuning = b.column(1).to_numpy(zero_copy_only=False)
+            folded = b.column(1).to_numpy(zero_copy_only=False)
             for i, j in T.slices(b.column(0), SLICE_BYTES):
                 text = b.column(0).slice(i, j - i)
-                for tune in (0, 1):
-                    if tune and not tuning[i:j].any():
+                for fold in range(folds):
+                    own = folded[i:j] == fold
+                    if not own.any():
                         continue
-                    for kind, keys in enumerate(pairs(v, read(v, text.filter(pa.array(tuning[i:j])) if tune else text))):
-                        held.setdefault((kind, tune), []).append(keys)
+                    for kind, keys in enumerate(pairs(v, read(v, text.filter(pa.array(own))))):
+                        held.setdefault((kind, fold), []).append(keys)
                         size += len(keys)
                 if size > HELD_KEYS:
                     yield from flush()
@@ -393,59 +397,58 @@ def _successors(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return c[keep], packed[keep].astype(np.uint32), total[keep]
 
 
-def _less(keys: np.ndarray, counts: np.ndarray, own_keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-    out = counts.copy()
-    out[np.searchsorted(keys, own_keys)] -= own
-    return out
-
+ENTRIES = "kind int, without int, classes array<long>, data binary"
 
-ENTRIES = "kind int, tune int, classes array<long>, data binary"
 
+def _entries(shared, folds: int):
+    """Of each range of contexts the finished entries of its tables: key, contents, class of the total (log2).
 
-def _entries(shared):
-    """Of each range of contexts the finished entries of its tables: key, contents, class of the total (log2)."""
+    Tables are without one fold, or with all (-1).
+    """
 
-    def out(kind: int, tune: int, key: np.ndarray, body: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    def out(kind: int, without: int, key: np.ndarray, body: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
         cls = np.minimum(np.log2(np.maximum(total, 1)), 40).astype(np.uint8)
         data = len(key).to_bytes(8, "little") + key.astype("<u8").tobytes() + cls.tobytes() + body.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([tune], pa.int32()), pa.array([np.bincount(cls, minlength=41).tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["kind", "tune", "classes", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([without], pa.int32()), pa.array([np.bincount(cls, minlength=41).tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["kind", "without", "classes", "data"])
 
-    def finish(v: Vocabulary, kind: int, got: list, own: list) -> Iterator[pa.RecordBatch]:
-        keys, counts = _sum_by_key(*(np.concatenate(x) for x in zip(*got)))
-        k, n = _sum_by_key(*(np.concatenate(x) for x in zip(*own))) if own else (keys[:0], counts[:0])
+    def finish(v: Vocabulary, kind: int, got: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        own = {fold: _sum_by_key(*(np.concatenate(x) for x in zip(*parts))) for fold, parts in got.items()}
+        got.clear()
         if kind in (ONE, TWO):
-            yield out(kind, 0, *_successors(keys, counts))
-            if len(k):  # contexts of the tuning texts without these texts
-                mine = np.isin(keys >> U(SYM_BITS), np.unique(k >> U(SYM_BITS)))
-                rest = _less(keys, counts, k, n)[mine]
-                ctx, packed, total = _successors(keys[mine][rest > 0], rest[rest > 0])
-                gone = np.setdiff1d(np.unique(k >> U(SYM_BITS)), ctx)
-                yield out(kind, 1, np.concatenate([ctx, gone]), np.concatenate([packed, np.zeros(len(gone), np.uint32)]), np.concatenate([total, np.zeros(len(gone), np.int64)]))
+            keys, counts = _sum_by_key(*(np.concatenate(x) for x in zip(*own.values())))
+            yield out(kind, -1, *_successors(keys, counts))
+            for fold in range(folds):
+                rest = counts.copy()
+                if fold in own:
+                    rest[np.searchsorted(keys, own[fold][0])] -= own[fold][1]
+                yield out(kind, fold, *_successors(keys[rest > 0], rest[rest > 0]))
             return
         t = v.words if kind == WORD else v.bytes
-        u, c0, c1 = _visits(t, keys, counts)
-        total = c0[:, 1] + c1[:, 1]
-        twice = total >= 2
-        body = levels(c0, c1)
-        yield out(kind, 0, u[twice], body[twice], total[twice])
-        if len(k):
-            w, d0, d1 = _visits(t, k, n)
-            at = np.searchsorted(u, w)
-            l0, l1 = c0[at] - d0, c1[at] - d1
-            body = np.where((l0[:, 1] + l1[:, 1] >= 2)[:, None], levels(l0, l1), 32).astype(np.uint8)
-            yield out(kind, 1, w, body, total[at])
+        seen = {fold: _visits(t, *x) for fold, x in own.items()}
+        own.clear()
+        u = np.unique(np.concatenate([x[0] for x in seen.values()]))
+        at = {fold: np.searchsorted(u, x[0]) for fold, x in seen.items()}
+        for fold in (-1, *range(folds)):
+            c0, c1 = np.zeros((2, len(u), 16), np.float32)
+            for k, (_, d0, d1) in seen.items():
+                if k != fold:
+                    c0[at[k]] += d0
+                    c1[at[k]] += d1
+            total = c0[:, 1] + c1[:, 1]
+            twice = total >= 2
+            yield out(kind, fold, u[twice], levels(c0[twice], c1[twice]), total[twice])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, now, got, own = shared.value, None, [], []
+        v, now, got = shared.value, None, {}
         for b in batches:
-            for shard, kind, tune, data in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+            for shard, kind, fold, data in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 if (shard, kind) != now:
                     if now is not None:
-                        yield from finish(v, now[1], got, own)
-                    now, got, own = (shard, kind), [], []
-                (own if tune else got).append(_unpack(data.as_py()))
+                        yield from finish(v, now[1], got)
+                    now, got = (shard, kind), {}
+                got.setdefault(fold, []).append(_unpack(data.as_py()))
         if now is not None:
-            yield from finish(v, now[1], got, own)
+            yield from finish(v, now[1], got)
         T.trim()
 
     return f
@@ -457,16 +460,16 @@ def _parse(kind: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, np.uint8, n, 8 + 8 * n), body if kind in (ONE, TWO) else body.reshape(-1, 16)
 
 
-def _at_least(least: dict[int, int]):
-    """Entries whose class is in the table's bound."""
+def _at_least(kind: int, least: int):
+    """Entries of one kind whose class is in the table's bound."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for kind, tune, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for data in b.column(0):
                 key, cls, body = _parse(kind, data.as_py())
-                keep = cls >= (0 if tune else least[kind])
+                keep = cls >= least
                 key, cls, body = key[keep], cls[keep], body[keep]
-                yield pa.RecordBatch.from_pydict({"kind": [kind], "tune": [tune], "data": [len(key).to_bytes(8, "little") + key.tobytes() + cls.tobytes() + body.tobytes()]}, schema=pa.schema([("kind", pa.int32()), ("tune", pa.int32()), ("data", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"data": [len(key).to_bytes(8, "little") + key.tobytes() + cls.tobytes() + body.tobytes()]}, schema=pa.schema([("data", pa.binary())]))
 
     return f
 
@@ -514,120 +517,229 @@ def fill(table: np.ndarray, rank: np.ndarray, key: np.ndarray, cls: np.ndarray,
         table[at[better], 0] = (key[better] & U(255)).astype(np.uint8) | 1
 
 
-def patch(table: np.ndarray, key: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Other contents for entries that the table holds; returns what stood there, and where."""
-    at = _slot(table, key)
-    if table.ndim == 1:
-        keep = (table[at] >> np.uint32(24) == (key & U(255)).astype(np.uint32)) & (table[at] > 0)
-    else:
-        keep = table[at, 0] == (key & U(255)).astype(np.uint8) | 1
-        body = body.copy()
-        body[:, 0] = table[at, 0]
-    at = at[keep]
-    was = at, table[at].copy()
-    table[at] = body[keep]
-    return was
+def _tables(entries: DataFrame, sizes: dict[int, np.ndarray], table_bytes: int) -> list[np.ndarray]:
+    """The four tables of some entries; sizes: of each kind the entries by class."""
+    tables: list[np.ndarray] = []
+    for k in range(4):
+        table = empty_table(k, int(sizes[k].sum()), table_bytes)
+        over = np.cumsum(sizes[k][::-1])[::-1] > 2 * len(table)  # classes from here on don't fit
+        least = int(np.flatnonzero(over)[-1]) + 1 if over.any() else 0
+        rank = np.zeros(len(table), np.uint32)
+        for r in entries.where(F.col("kind") == k).select("data").mapInArrow(_at_least(k, least), "data binary").toLocalIterator():
+            fill(table, rank, *_parse(k, bytes(r.data)))
+        tables.append(table)
+        del rank
+        T.trim()
+    return tables
 
 
-def learn(train: DataFrame, v: Vocabulary, tuning: pa.Array, text: str, is_tuning: Column, table_bytes: int) -> Model:
+def learn(train: DataFrame, v: Vocabulary, text: str, fold: Column, folds: int, table_bytes: int) -> Model:
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(v)
     parts = 2 * shuffle_partitions(spark)
     shards = 1 << max(0, (parts - 1).bit_length())
-    grams = train.select(text, is_tuning.alias("t")).mapInArrow(_pairs(shared, shards), GRAMS).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
-    entries = durable(grams.mapInArrow(_entries(shared), ENTRIES), "entries")
-    sizes = {k: np.zeros(41, np.int64) for k in range(4)}
-    for r in entries.where("tune = 0").select("kind", F.posexplode("classes").alias("i", "n")).groupBy("kind", "i").agg(F.sum("n").alias("n")).collect():
-        sizes[r.kind][r.i] = r.n
-    tables: list[np.ndarray] = []
-    least: dict[int, int] = {}
-    for k in range(4):
-        tables.append(empty_table(k, int(sizes[k].sum()), table_bytes))
-        over = np.cumsum(sizes[k][::-1])[::-1] > 2 * len(tables[k])  # classes from here on don't fit
-        least[k] = int(np.flatnonzero(over)[-1]) + 1 if over.any() else 0
-    own: list[tuple] = []
-    for k in range(4):
-        rank = np.zeros(len(tables[k]), np.uint32)
-        for r in entries.where(F.col("kind") == k).select("kind", "tune", "data").mapInArrow(_at_least(least), "kind int, tune int, data binary").toLocalIterator():
-            key, cls, body = _parse(k, bytes(r.data))
-            if r.tune:
-                own.append((k, key.copy(), body.copy()))
-            else:
-                fill(tables[k], rank, key, cls, body)
-        del rank
-        T.trim()
-    forget(spark, entries)
+    grams = train.select(text, fold.alias("f")).mapInArrow(_pairs(shared, shards, folds), GRAMS).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+    entries = durable(grams.mapInArrow(_entries(shared, folds), ENTRIES), "entries")
     shared.destroy()
-    before = [(k, *patch(tables[k], key, body)) for k, key, body in own]
-    start = Model(v, tables, np.tile(np.float32(WORD_START), (WORD_GATES, 1)), np.tile(np.float32(BYTE_START), (BYTE_GATES, 1)))
-    m = tune(start, tuning)
-    for k, at, body in reversed(before):
-        tables[k][at] = body
-    del own, before
+    sizes = {f: {k: np.zeros(41, np.int64) for k in range(4)} for f in range(-1, folds)}
+    for r in entries.select("kind", "without", F.posexplode("classes").alias("i", "n")).groupBy("kind", "without", "i").agg(F.sum("n").alias("n")).collect():
+        sizes[r.without][r.kind][r.i] = r.n
+    start = [np.tile(np.float32(x), (n, 1)) for x, n in ((WORD_START, WORD_GATES), (BYTE_START, BYTE_GATES))]
+    seen: list[DataFrame] = []
+    for f in range(folds):
+        m = Model(v, _tables(entries.where(F.col("without") == f), sizes[f], table_bytes), *start)
+        model = spark.sparkContext.broadcast(m)
+        del m
+        gc.collect()
+        T.trim()
+        seen.append(durable(train.where(fold == f).select(text).mapInArrow(_cells(model), CELLS).groupBy("kind", "cell").agg(F.sum("n").alias("n")), "cells"))
+        model.destroy()
+    cells = reduce(DataFrame.unionAll, seen).groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    word_weights, byte_weights = (fit_weights(kind, cells.where(F.col("kind") == kind).select("cell", "n").toArrow()) for kind in (WORD, SPELL))
     T.trim()
+    m = Model(v, _tables(entries.where("without = -1"), sizes[-1], table_bytes), word_weights, byte_weights)
+    forget(spark, entries, *seen)
     return m
 
 
-def tune(m: Model, texts: pa.Array) -> Model:
-    """Fit the starting weights; words seen once, in these texts alone, count as new."""
-    kept: tuple[list, list] = [], []
-    for i, j in T.slices(texts, SLICE_BYTES):
-        log2_probability(m, texts.slice(i, j - i), kept)
-    return replace(m, word_weights=_fit(kept[0], WORD_GATES, WORD_START), byte_weights=_fit(kept[1], BYTE_GATES, BYTE_START))
+CELLS = "kind int, cell long, n long"
+#: Steps of a logit in a cell of words and of bytes: of the tree's own, of the tables'.
+WORD_STEPS, BYTE_STEPS = (8, 4), (4, 2)
+TABLE_LEVEL = np.where(np.arange(256) < 64, 0, np.arange(256) % 64 - 32)
 
 
-def _fit(kept: list, gates: int, start: tuple[float, ...]) -> np.ndarray:
-    """Newton's method for the weights of all gates together, then of each with these as its prior. Features point to the bit that came."""
-    w = np.array(start)
-    if not kept:
-        return np.tile(w, (gates, 1)).astype(np.float32)
-    g = np.concatenate([k[0] for k in kept])
-    x = np.concatenate([np.stack(k[1], 1) for k in kept])
+def _own_steps(t: Tree, steps: int, most: int) -> np.ndarray:
+    return np.clip(np.round(t.own * steps), -most, most).astype(np.int32)
+
+
+def word_cells(m: Model, t: Tokens, sym: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of every bit of the words: gate (9 bits), steps of the tree's own logit (6) and of the table's (6) for the bit that came, successors that hit (3)."""
+    tree, table, flat = m.v.words, m.tables[WORD], m.tables[WORD].reshape(-1)
+    if tree.root < 0 or not len(sym):
+        return np.zeros(0, np.uint32)
+    depth = tree.depth[sym]
+    o = np.argsort(255 - depth, kind="stable")
+    pred, sure = successors(m, t)
+    sym, ctx, pred, sure, depth = sym[o], t.ctx[0][o], [p[o] for p in pred], [s[o] for s in sure], depth[o]
+    left = np.cumsum(np.bincount(depth, minlength=256)[::-1])[::-1]
+    node, level = np.full(len(sym), tree.root, np.int32), TABLE_LEVEL.astype(np.int32)
+    gate0 = (sure[0] + 4 * sure[1] + 16 * sure[2]).astype(np.uint8)
+    base = nib = None
+    out = []
+    for d in range(int(depth.max())):
+        z = int(left[d + 1])
+        node = node[:z]
+        if d % 4 == 0:
+            base, nib = _look(table, ctx[:z], node), np.ones(z, np.int64)
+        lv = flat[base[:z] + nib[:z]]
+        bit = sym[:z] >= node
+        sign = np.where(bit, np.int32(1), np.int32(-1))
+        gate = (gate0[:z].astype(np.int32) << 2) + (lv >> np.uint8(6)) + 128 * ((d > 0) + (d > 3))
+        cell = (gate << 15) + (own[node] * sign + 32 << 9) + (level[lv] * sign + 32 << 3)
+        active = np.flatnonzero(gate0[:z])
+        ba, na = bit[active], node[active]
+        for k in range(3):
+            on = sure[k][active] > 0
+            hit = (pred[k][active] >= na) == ba
+            cell[active] += (on & hit).astype(np.int32) << k
+            off = active[on & ~hit]
+            gate0[off] -= sure[k][off] * np.uint8(4**k)
+            sure[k][off] = 0
+        out.append(cell.astype(np.uint32))
+        node = tree.child[2 * node + bit]
+        nib = 2 * nib[:z] + bit
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
-    def newton(a: np.ndarray, prior: np.ndarray, ridge: float) -> np.ndarray:
+
+def byte_cells(m: Model, sym: np.ndarray, ctx: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Of every bit of spelled words: gate (6 bits), steps (5 each) of the tree's own logit and of the three tables' for the bit that came."""
+    t, table, flat = m.v.bytes, m.tables[SPELL], m.tables[SPELL].reshape(-1)
+    depth = t.depth[sym]
+    o = np.argsort(255 - depth, kind="stable")
+    sym, ctx, depth = sym[o], [c[o] for c in ctx], depth[o]
+    left = np.cumsum(np.bincount(depth, minlength=256)[::-1])[::-1]
+    node, level = np.full(len(sym), t.root, np.int32), np.clip(np.round(TABLE_LEVEL / 2), -15, 15).astype(np.int32)
+    out = []
+    for d in range(int(depth.max())):
+        z = int(left[d + 1])
+        node = node[:z]
+        if d % 4 == 0:
+            base, nib = [_look(table, c[:z], node) for c in ctx], np.ones(z, np.int64)
+        bit = sym[:z] >= node
+        sign = np.where(bit, np.int32(1), np.int32(-1))
+        lv = [flat[b[:z] + nib[:z]] for b in base]
+        cell = own[node] * sign + 16
+        for x in lv:
+            cell = (cell << 5) + (level[x] * sign + 16)
+        gate = (lv[0] >> np.uint8(6)).astype(np.int32) + (lv[1] >> np.uint8(6)) * 4 + (lv[2] >> np.uint8(6)) * 16
+        out.append(((gate << 20) + cell).astype(np.uint32))
+        node = t.child[2 * node + bit]
+        nib = 2 * nib[:z] + bit
+    return np.concatenate(out)
+
+
+def _cells(shared):
+    """Bits of a task's texts by cell; words seen once, in these texts alone, count as new."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        v = m.v
+        own = {WORD: _own_steps(v.words, WORD_STEPS[0], 31), SPELL: _own_steps(v.bytes, BYTE_STEPS[0], 15)}
+        held: dict[int, list[np.ndarray]] = {WORD: [], SPELL: []}
+        sums = {k: (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for k in held}
+
+        def add(kind: int) -> None:
+            got = _sum_by_key(np.concatenate([np.zeros(0, np.uint32), *held[kind]]))
+            held[kind].clear()
+            sums[kind] = _sum_by_key(*(np.concatenate(x) for x in zip(sums[kind], got)))
+
+        for b in batches:
+            for i, j in T.slices(b.column(0), SLICE_BYTES):
+                t = read(v, b.column(0).slice(i, j - i))
+                once = v.count[t.sym[t.at]] <= 1
+                sym = t.sym.copy()
+                sym[t.at[once]] = v.escape
+                held[WORD].append(word_cells(m, t, sym, own[WORD]))
+                if (once | ~t.hit).any():
+                    b_sym, _, b_ctx = spelled(v, t, once | ~t.hit)
+                    held[SPELL].append(byte_cells(m, b_sym, b_ctx, own[SPELL]))
+                for kind, parts in held.items():
+                    if sum(map(len, parts)) > HELD_KEYS:
+                        add(kind)
+        for kind in held:
+            add(kind)
+            cell, n = sums[kind]
+            for i in range(0, len(cell), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"kind": np.full(len(cell[i : i + (1 << 16)]), kind, np.int32), "cell": cell[i : i + (1 << 16)].astype(np.int64), "n": n[i : i + (1 << 16)]})
+        T.trim()
+
+    return f
+
+
+def features(kind: int, cell: np.ndarray) -> np.ndarray:
+    """What the weights of a cell's gate multiply, pointing to the bit that came."""
+    if kind == SPELL:
+        own, tables = BYTE_STEPS
+        return np.stack([((cell >> 15 & 31) - 16) / own, *(((cell >> s & 31) - 16) / tables for s in (10, 5, 0))], 1)
+    own, tables = WORD_STEPS
+    on = [cell >> 17 & 3, cell >> 19 & 3, cell >> 21 & 1]
+    return np.stack([((cell >> 9 & 63) - 32) / own, ((cell >> 3 & 63) - 32) / tables, *(np.where(s > 0, 2 * (cell >> k & 1) - 1, 0) for k, s in enumerate(on))], 1)
+
+
+def fit_weights(kind: int, cells: pa.Table) -> np.ndarray:
+    """Newton's method for the weights of all gates together, then of each with these as its prior."""
+    gates, start, shift = (BYTE_GATES, BYTE_START, 20) if kind == SPELL else (WORD_GATES, WORD_START, 15)
+    cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy().astype(float)
+    o = np.argsort(cell)
+    cell, n = cell[o], n[o]
+
+    def newton(a: int, z: int, prior: np.ndarray, ridge: float, lot: int = 1 << 16) -> np.ndarray:
         w = prior.copy()
         for _ in range(12):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (1 - p) - ridge * (w - prior))
-            w += np.clip(step, -0.5, 0.5)
+            h, g = ridge * np.eye(len(w)), -ridge * (w - prior)
+            for i in range(a, z, lot):
+                x, k = features(kind, cell[i : min(z, i + lot)]), n[i : min(z, i + lot)]
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                h += (x * (k * p * (1 - p))[:, None]).T @ x
+                g += x.T @ (k * (1 - p))
+            w += np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         return w
 
-    w = newton(x[:: max(1, len(x) >> 19)].astype(float), w, 20.0)
+    w = np.array(start)
+    if not len(cell):
+        return np.tile(w, (gates, 1)).astype(np.float32)
+    w = newton(0, len(cell), w, 20.0)
     out = np.tile(w, (gates, 1))
-    o = np.argsort(g, kind="stable")
-    g, x = g[o], x[o]
-    at = np.searchsorted(g, np.arange(gates + 1))
+    at = np.searchsorted(cell >> shift, np.arange(gates + 1))
     for k in range(gates):
         if at[k + 1] > at[k]:
-            out[k] = newton(x[at[k] : at[k + 1]].astype(float), w, 20.0)
+            out[k] = newton(at[k], at[k + 1], w, 20.0)
     return out.astype(np.float32)
 
 
 # ---- scoring
 
 
-def log2_probability(m: Model, texts: pa.Array, kept: tuple[list, list] | None = None, t: Tokens | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """log2 of each text's probability, and its bytes with an end. With ``kept``, features are collected and words seen once are new."""
-    v = m.v
-    t = read(v, texts) if t is None else t
-    total = np.zeros(t.rows)
-    if not t.rows:
-        return total, t.n_bytes
-    new = ~t.hit
-    sym = t.sym
-    if kept is not None:
-        once = v.count[sym[t.at]] <= 1
-        new |= once
-        sym = sym.copy()
-        sym[t.at[once]] = v.escape
+def successors(m: Model, t: Tokens) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For every token the successors of one word, of two, and in the same text; how sure each is (0: none)."""
     pred, sure = [], []
     for k in (ONE, TWO):
         x = m.tables[k][_slot(m.tables[k], t.ctx[k])]
         pred.append((x & np.uint32((1 << 21) - 1)).astype(np.int32))
         sure.append(np.where(x >> np.uint32(24) == (t.ctx[k] & U(255)).astype(np.uint32), x >> np.uint32(21) & np.uint32(7), 0).astype(np.uint8))
     own = earlier(t)
-    pred.append(own)
-    sure.append((own >= 0).astype(np.uint8))
+    return [*pred, own], [*sure, (own >= 0).astype(np.uint8)]
+
+
+def log2_probability(m: Model, texts: pa.Array, t: Tokens | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """log2 of each text's probability, and its bytes with an end."""
+    v = m.v
+    t = read(v, texts) if t is None else t
+    total = np.zeros(t.rows)
+    if not t.rows:
+        return total, t.n_bytes
+    sym = t.sym
+    pred, sure = successors(m, t)
     first = np.searchsorted(t.row, np.arange(t.rows))
     place = np.arange(len(sym)) - first[t.row]
     block = (np.frexp((place // BLOCK + 1).astype(np.float32))[1] - 1).astype(np.int16)
@@ -638,10 +750,10 @@ def log2_probability(m: Model, texts: pa.Array, kept: tuple[list, list] | None =
     scale = np.ones((5, t.rows), np.float32)
     for a, z in zip(np.concatenate([[0], ends[:-1]]), ends):
         i = o[a:z]
-        _block(m, sym[i], t.ctx[0][i], [p[i] for p in pred], [s[i] for s in sure], depth[i], t.row[i], scale, total, kept)
-    if new.any():
-        b_sym, b_row, b_ctx = spelled(v, t, new)
-        _bytes(m, b_sym, b_row, b_ctx, total, kept)
+        _block(m, sym[i], t.ctx[0][i], [p[i] for p in pred], [s[i] for s in sure], depth[i], t.row[i], scale, total)
+    if not t.hit.all():
+        b_sym, b_row, b_ctx = spelled(v, t, ~t.hit)
+        _bytes(m, b_sym, b_row, b_ctx, total)
     return total, t.n_bytes + 1
 
 
@@ -652,7 +764,7 @@ def _look(table: np.ndarray, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.where(table[at, 0] == (key & U(255)).astype(np.uint8) | 1, at, len(table) - 1) * 16
 
 
-def _block(m: Model, sym: np.ndarray, ctx: np.ndarray, pred: list[np.ndarray], sure: list[np.ndarray], depth: np.ndarray, row: np.ndarray, scale: np.ndarray, total: np.ndarray, kept: tuple[list, list] | None) -> None:
+def _block(m: Model, sym: np.ndarray, ctx: np.ndarray, pred: list[np.ndarray], sure: list[np.ndarray], depth: np.ndarray, row: np.ndarray, scale: np.ndarray, total: np.ndarray) -> None:
     """Score one block of each of some rows, then refine these rows' factors."""
     t, table, flat, w = m.v.words, m.tables[WORD], m.tables[WORD].reshape(-1), m.word_weights
     n = len(sym)
@@ -688,11 +800,6 @@ def _block(m: Model, sym: np.ndarray, ctx: np.ndarray, pred: list[np.ndarray], s
                 sk = np.where(on, np.where(hit, weights[2 + k][ga], -weights[2 + k][ga]), np.float32(0))
                 x[active] += sk * s[2 + k][active]
                 terms.append((sk, on, hit))
-        if kept is not None:
-            f = [f0, f1, *(np.zeros(z, np.float32) for _ in range(3))]
-            for k, (_, on, hit) in enumerate(terms):
-                f[2 + k][active] = on * np.where(hit, 1, -1)
-            kept[0].append((gate.copy(), f))
         np.clip(x, -18, 18, out=x)
         np.negative(x, out=x)
         np.exp(x, out=x)
@@ -717,7 +824,7 @@ def _block(m: Model, sym: np.ndarray, ctx: np.ndarray, pred: list[np.ndarray], s
         scale[k] += np.clip(RATE * np.bincount(row, weights=grad[k], minlength=rows) / np.sqrt(bits), -0.25, 0.25).astype(np.float32)
 
 
-def _bytes(m: Model, sym: np.ndarray, row: np.ndarray, ctx: list[np.ndarray], total: np.ndarray, kept: tuple[list, list] | None) -> None:
+def _bytes(m: Model, sym: np.ndarray, row: np.ndarray, ctx: list[np.ndarray], total: np.ndarray) -> None:
     """Score the bytes of spelled words."""
     t, table, flat, w = m.v.bytes, m.tables[SPELL], m.tables[SPELL].reshape(-1), m.byte_weights
     depth = t.depth[sym]
@@ -737,8 +844,6 @@ def _bytes(m: Model, sym: np.ndarray, row: np.ndarray, ctx: list[np.ndarray], to
         gate = (lv[0] >> np.uint8(6)).astype(np.int16) + (lv[1] >> np.uint8(6)) * 4 + (lv[2] >> np.uint8(6)) * 16
         f = [t.own[node] * sign, *(LOGIT[x] * sign for x in lv)]
         x = sum(a * w[:, k][gate] for k, a in enumerate(f))
-        if kept is not None:
-            kept[1].append((gate, f))
         nats[:z] += np.log1p(np.exp(-np.clip(x, -18, 18)))
         node = t.child[2 * node + bit]
         nib = 2 * nib[:z] + bit
@@ -775,7 +880,7 @@ def _score(shared):
     return f
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, table_bytes: int = TABLE_BYTES, tuning: int = TUNING) -> tuple[Model, DataFrame, int, int, int]:
+def fit(train: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, table_bytes: int = TABLE_BYTES, folds: int = FOLDS) -> tuple[Model, DataFrame, int, int, int]:
     """Model, word counts (h, c) as a table, training tokens, distinct tokens, training texts."""
     hist = durable(train.select(text).mapInArrow(_histogram, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c")), "words")
     got = {r.h: r.c for r in hist.where("kind = 1").collect()}
@@ -797,12 +902,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
     v = make_vocabulary(h, c, ends, int(tot.n) - int(c.sum()), int(tot.once), int(tot.n) + ends, np.array([got.get(i, 0) for i in range(256)], np.int64))
     del top, h, c, o
     T.trim()
-    order = F.xxhash64(F.lit(5), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    short = train.where(F.octet_length(text) <= TUNING_BYTES).select(order.alias("r"), F.col(text).alias("t"))
-    least_r = [r.r for r in short.select("r").distinct().orderBy("r").limit(max(0, min(tuning, ends // 10))).collect()]
-    few = short.where(F.col("r").isin(least_r)).dropDuplicates(["r"]).orderBy("r").collect() if least_r else []
-    chosen = order.isin([r.r for r in few]) if few else F.lit(False)
-    return learn(train, v, pa.array([r.t for r in few], pa.large_string()), text, chosen, table_bytes), words, int(tot.n) + ends, int(tot.v) + (ends > 0), ends
+    fold = F.pmod(F.xxhash64(F.lit(5), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))), F.lit(folds)).cast("int")
+    return learn(train, v, text, fold, folds, table_bytes), words, int(tot.n) + ends, int(tot.v) + (ends > 0), ends
 
 
 def score(documents: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
