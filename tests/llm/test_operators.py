@@ -427,6 +427,44 @@ def test_lm_weights_come_from_all_training_texts(spark, monkeypatch):
         assert abs(nats + plain_score(m, x.encode().lower().split()) * np.log(10)) < 0.03 * nats
 
 
+def test_lm_refines_factors_only_where_words_follow(docs, texts, monkeypatch):
+    m = lm_scoring.fit(docs, vocabulary=64, table_bytes=1 << 14)[0]
+    size = [len((t or "").encode().split()) + 1 for t in texts]
+    calls, real = [], lm_scoring._block
+    monkeypatch.setattr(lm_scoring, "_block", lambda *x: calls.append((len(x[1]), x[-1])) or real(*x))
+    lm_scoring.log2_probability(m, pa.array(texts, pa.large_string()))
+    # a text's last block (of 64, 128, ... tokens) refines nothing; before, every block did
+    ahead = [lm_scoring.BLOCK * (2 ** int(np.log2((n - 1) // lm_scoring.BLOCK + 1)) - 1) for n in size]
+    assert max(ahead) > 0 and sum(n for n, refine in calls if refine is True) == sum(ahead)
+    assert sum(n for n, refine in calls if refine is False) == sum(size) - sum(ahead)
+
+
+def test_lm_visits_and_lookup_equal_plain_walks():
+    rng = np.random.default_rng(5)
+    t = lm_scoring.tree(np.sort(rng.integers(1, 1000, 300))[::-1])
+    keys = np.unique(rng.integers(0, 40, 3000).astype(np.uint64) << np.uint64(22) | rng.integers(0, 300, 3000).astype(np.uint64))
+    counts = rng.integers(1, 9, len(keys))
+    plain = {}
+    for key, n in zip(keys, counts):
+        sym, node, d = int(key) & (1 << 22) - 1, t.root, 0
+        while node >= 0:
+            if d % 4 == 0:
+                own, nib = int(lm_scoring.bucket(key[None] >> np.uint64(22), np.array([node]))[0]), 1
+            bit = int(sym >= node)
+            plain[own, nib, bit] = plain.get((own, nib, bit), 0) + n
+            node, nib, d = int(t.child[2 * node + bit]), 2 * nib + bit, d + 1
+    for lot in (1 << 18, 100):  # buckets in one lot, and over several
+        u, c0, c1 = lm_scoring._visits(t, keys, counts, lot)
+        assert (np.diff(u.astype(float)) > 0).all() and c0.sum() + c1.sum() == sum(plain.values())
+        assert all((c0, c1)[bit][np.searchsorted(u, np.uint64(own)), nib] == n for (own, nib, bit), n in plain.items())
+    for n in (1, 2, 5000):
+        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) >> np.uint64(rng.integers(0, 3)))
+        v = lm_scoring.make_vocabulary(h[::-1], np.arange(len(h), 0, -1), 1, 0, 0, len(h), np.zeros(256, np.int64))
+        at, hit = v.find(np.concatenate([h, h + np.uint64(1), np.array([0, M64], np.uint64)]))
+        assert hit[: len(h)].all() and (at[: len(h)] == np.arange(len(h))).all()
+        assert (hit == np.isin(np.concatenate([h, h + np.uint64(1), np.array([0, M64], np.uint64)]), h)).all()
+
+
 def test_lm_tree_and_tables():
     rng = np.random.default_rng(3)
     t = lm_scoring.tree(np.sort(rng.integers(1, 1000, 77))[::-1])

@@ -46,7 +46,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +120,27 @@ class Vocabulary:
     escape: int
     common: np.ndarray  # number of each symbol among the very common words, from 1; 0: none
 
+    @cached_property
+    def starts(self) -> tuple[U, np.ndarray]:
+        """Where the keys of equal first bits begin, and how far a key is shifted for these bits; made in each worker."""
+        bits = max(4, len(self.keys).bit_length() - 1)
+        first = np.arange(1 << bits, dtype=U) << U(64 - bits)
+        return U(64 - bits), np.append(np.searchsorted(self.keys, first), len(self.keys)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash among the keys, and whether it is there at all."""
+        shift, starts = self.starts
+        top = (h >> shift).astype(np.int64)
+        at, stop = starts[top], starts[top + 1]
+        hit = self.keys[np.minimum(at, len(self.keys) - 1)] == h
+        open_ = np.flatnonzero(~hit & (at + 1 < stop))
+        while len(open_):
+            at[open_] += 1
+            same = self.keys[at[open_]] == h[open_]
+            hit[open_[same]] = True
+            open_ = open_[~same & (at[open_] + 1 < stop[open_])]
+        return at, hit
+
 
 def make_vocabulary(h: np.ndarray, c: np.ndarray, ends: int, rest: int, once: int, total: int, byte_counts: np.ndarray) -> Vocabulary:
     """h, c: words by falling count. rest: tokens without a symbol; once: words seen once, as many as new ones are due."""
@@ -165,9 +186,8 @@ def read(v: Vocabulary, texts: pa.Array) -> Tokens:
     h = T.span_hash(run, s, e)
     sym, hit = np.full(nw, v.escape, np.int32), np.zeros(nw, bool)
     if len(v.keys) and nw:
-        i = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-        hit = v.keys[i] == h
-        sym = np.where(hit, v.symbol[i], sym)
+        i, hit = v.find(h)
+        sym[hit] = v.symbol[i[hit]]
     per = np.bincount(row, minlength=n) + 1 if nw else np.ones(n, np.int64)
     at = np.arange(nw) + row
     ends = np.cumsum(per) - 1
@@ -339,42 +359,54 @@ def levels(c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
 
 
 def _visits(t: Tree, keys: np.ndarray, counts: np.ndarray, lot: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets met by the pairs, and of every place in them the counts of 0 and of 1; some pairs at a time."""
-    got = [_lot_of_visits(t, keys[i : i + lot], counts[i : i + lot]) for i in range(0, max(len(keys), 1), lot)]
-    if len(got) == 1:
+    """Buckets met by the pairs (sorted), and of every place in them the counts of 0 and of 1; some pairs at a time."""
+    got = [x for i in range(0, len(keys), lot) for x in _lot_of_visits(t, keys[i : i + lot], counts[i : i + lot])]
+    return _merged(got)
+
+
+def _merged(got: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of several counts by bucket; a single one of sorted buckets stays as it is."""
+    if len(got) == 1 and (got[0][0][1:] > got[0][0][:-1]).all():
         return got[0]
-    u = np.unique(np.concatenate([g[0] for g in got]))
+    u = np.unique(np.concatenate([np.zeros(0, U), *(g[0] for g in got)]))
     c = np.zeros((2, len(u), 16), np.float32)
     for own, c0, c1 in got:
         at = np.searchsorted(u, own)
-        c[0, at] += c0
-        c[1, at] += c1
+        if len(at) and np.bincount(at).max() > 1:  # two nodes of one hash
+            np.add.at(c[0], at, c0)
+            np.add.at(c[1], at, c1)
+        else:
+            c[0, at] += c0
+            c[1, at] += c1
     return u, c[0], c[1]
 
 
-def _lot_of_visits(t: Tree, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lot_of_visits(t: Tree, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Four levels of the tree at a time. As pairs are sorted, those of one context and node stand together."""
     ctx, sym = keys >> U(SYM_BITS), (keys & U((1 << SYM_BITS) - 1)).astype(np.int32)
-    node, parts, d = np.full(len(sym), t.root, np.int32), [], 0
-    if t.root < 0:
-        return np.zeros(0, U), np.zeros((0, 16)), np.zeros((0, 16))
+    node = np.full(len(sym) if t.root >= 0 else 0, t.root, np.int32)
     while len(node):
-        if d % 4 == 0:
-            base, nib = bucket(ctx, node), np.ones(len(node), np.int8)
-        bit = sym >= node
-        parts.append((base, nib, bit, counts))
-        node = t.child[2 * node + bit]
-        nib = 2 * nib + bit
-        live = node >= 0
-        ctx, sym, base, nib, counts, node = ctx[live], sym[live], base[live], nib[live], counts[live], node[live]
-        d += 1
-    first = np.concatenate([p[0][p[1] == 1] for p in parts])
-    u = np.unique(first)
-    c = [np.zeros(16 * len(u)) for _ in range(2)]
-    for base, nib, bit, k in parts:
-        at = np.searchsorted(u, base) * 16 + nib
-        for x in (0, 1):
-            c[x] += np.bincount(at[bit == x], weights=k[bit == x], minlength=len(c[x]))
-    return u, c[0].reshape(-1, 16).astype(np.float32), c[1].reshape(-1, 16).astype(np.float32)
+        base = bucket(ctx, node)
+        head = np.concatenate([[True], base[1:] != base[:-1]])
+        at, nib = (np.cumsum(head) - 1) << 5, np.ones(len(node), np.int8)
+        which, cells, weights = None, [], []
+        s, n = sym, counts
+        for _ in range(4):
+            bit = s >= node
+            nib = 2 * nib + bit
+            cells.append(at + nib)
+            weights.append(n)
+            node = t.child[2 * node + bit]
+            live = np.flatnonzero(node >= 0)
+            if len(live) < len(node):
+                node, s, n, at, nib = node[live], s[live], n[live], at[live], nib[live]
+                which = live if which is None else which[live]
+            if not len(node):
+                break
+        u = base[head]
+        c = np.bincount(np.concatenate(cells), np.concatenate(weights), 32 * len(u)).reshape(-1, 16, 2)
+        yield u, c[:, :, 0].astype(np.float32), c[:, :, 1].astype(np.float32)
+        ctx, sym, counts = ctx if which is None else ctx[which], s, n
 
 
 def _successors(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -426,14 +458,8 @@ def _entries(shared, folds: int):
         t = v.words if kind == WORD else v.bytes
         seen = {fold: _visits(t, *x) for fold, x in own.items()}
         own.clear()
-        u = np.unique(np.concatenate([x[0] for x in seen.values()]))
-        at = {fold: np.searchsorted(u, x[0]) for fold, x in seen.items()}
         for fold in (-1, *range(folds)):
-            c0, c1 = np.zeros((2, len(u), 16), np.float32)
-            for k, (_, d0, d1) in seen.items():
-                if k != fold:
-                    c0[at[k]] += d0
-                    c1[at[k]] += d1
+            u, c0, c1 = _merged([x for k, x in seen.items() if k != fold])
             total = c0[:, 1] + c1[:, 1]
             twice = total >= 2
             yield out(kind, fold, u[twice], levels(c0[twice], c1[twice]), total[twice])
@@ -481,6 +507,23 @@ class Model:
     word_weights: np.ndarray  # (gates, 5)
     byte_weights: np.ndarray  # (gates, 4)
 
+    @cached_property
+    def word_terms(self) -> list[list[np.ndarray]]:
+        """For depths 0, 1 to 3 and more: by successors that agree (5 bits) and the table's byte, the weights; the table's with its logit."""
+        gate = (np.arange(1 << 13) >> 8 << 2) + (np.arange(1 << 13) >> 6 & 3)
+        by = [[np.ascontiguousarray(self.word_weights[gate + 128 * k, i]) for i in range(5)] for k in range(3)]
+        for terms in by:
+            terms[1] *= np.tile(LOGIT, 32)
+        return by
+
+    @cached_property
+    def byte_terms(self) -> list[np.ndarray]:
+        """By gate the weight of the tree's own logit; by gate and a table's six low bits its weight and logit."""
+        gate = np.arange(1 << 12) >> 6
+        seen = [gate >> 2 * i & 3 for i in range(3)]
+        tables = [self.byte_weights[gate, i + 1] * LOGIT[seen[i] << 6 | np.arange(1 << 12) & 63] for i in range(3)]
+        return [np.ascontiguousarray(self.byte_weights[:, 0]), *tables]
+
 
 LOGIT = ((np.arange(256) % 64 - 32) / 4).astype(np.float32)
 LOGIT[:64] = 0
@@ -582,8 +625,9 @@ def word_cells(m: Model, t: Tokens, sym: np.ndarray, own: np.ndarray) -> np.ndar
     pred, sure = successors(m, t)
     sym, ctx, pred, sure, depth = sym[o], t.ctx[0][o], [p[o] for p in pred], [s[o] for s in sure], depth[o]
     left = np.cumsum(np.bincount(depth, minlength=256)[::-1])[::-1]
-    node, level = np.full(len(sym), tree.root, np.int32), TABLE_LEVEL.astype(np.int32)
-    gate0 = (sure[0] + 4 * sure[1] + 16 * sure[2]).astype(np.uint8)
+    node, own, level = np.full(len(sym), tree.root, np.int32), own << 9, TABLE_LEVEL.astype(np.int32) << 3
+    gate0 = (sure[0] + 4 * sure[1] + 16 * sure[2]).astype(np.int32) << 8
+    live = [(a, p[a], c[a].astype(np.int32) << 8 + 2 * k) for k, (p, c) in enumerate(zip(pred, sure)) for a in [np.flatnonzero(c)]]
     base = nib = None
     out = []
     for d in range(int(depth.max())):
@@ -593,19 +637,22 @@ def word_cells(m: Model, t: Tokens, sym: np.ndarray, own: np.ndarray) -> np.ndar
             base, nib = _look(table, ctx[:z], node), np.ones(z, np.int64)
         lv = flat[base[:z] + nib[:z]]
         bit = sym[:z] >= node
-        sign = np.where(bit, np.int32(1), np.int32(-1))
-        gate = (gate0[:z].astype(np.int32) << 2) + (lv >> np.uint8(6)) + 128 * ((d > 0) + (d > 3))
-        cell = (gate << 15) + (own[node] * sign + 32 << 9) + (level[lv] * sign + 32 << 3)
-        active = np.flatnonzero(gate0[:z])
-        ba, na = bit[active], node[active]
-        for k in range(3):
-            on = sure[k][active] > 0
-            hit = (pred[k][active] >= na) == ba
-            cell[active] += (on & hit).astype(np.int32) << k
-            off = active[on & ~hit]
-            gate0[off] -= sure[k][off] * np.uint8(4**k)
-            sure[k][off] = 0
-        out.append(cell.astype(np.uint32))
+        cell = own[node]
+        cell += level[lv]
+        cell *= np.where(bit, np.int32(1), np.int32(-1))
+        cell += (gate0[:z] + lv >> 6 << 15) + np.int32(128 * ((d > 0) + (d > 3)) << 15 | 32 << 9 | 32 << 3)
+        for k, (a, p, c) in enumerate(live):
+            if len(a) and a[-1] >= z:
+                stop = int(np.searchsorted(a, z))
+                a, p, c = a[:stop], p[:stop], c[:stop]
+            if len(a):
+                hit = (p >= node[a]) == bit[a]
+                cell[a] += hit.astype(np.int32) << k
+                if not hit.all():
+                    gate0[a[~hit]] -= c[~hit]
+                    a, p, c = a[hit], p[hit], c[hit]
+            live[k] = a, p, c
+        out.append(cell.view(np.uint32))
         node = tree.child[2 * node + bit]
         nib = 2 * nib[:z] + bit
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
@@ -618,7 +665,8 @@ def byte_cells(m: Model, sym: np.ndarray, ctx: list[np.ndarray], own: np.ndarray
     o = np.argsort(255 - depth, kind="stable")
     sym, ctx, depth = sym[o], [c[o] for c in ctx], depth[o]
     left = np.cumsum(np.bincount(depth, minlength=256)[::-1])[::-1]
-    node, level = np.full(len(sym), t.root, np.int32), np.clip(np.round(TABLE_LEVEL / 2), -15, 15).astype(np.int32)
+    node, own = np.full(len(sym), t.root, np.int32), own << 15
+    level = [np.clip(np.round(TABLE_LEVEL / 2), -15, 15).astype(np.int32) << k for k in (10, 5, 0)]
     out = []
     for d in range(int(depth.max())):
         z = int(left[d + 1])
@@ -626,13 +674,14 @@ def byte_cells(m: Model, sym: np.ndarray, ctx: list[np.ndarray], own: np.ndarray
         if d % 4 == 0:
             base, nib = [_look(table, c[:z], node) for c in ctx], np.ones(z, np.int64)
         bit = sym[:z] >= node
-        sign = np.where(bit, np.int32(1), np.int32(-1))
         lv = [flat[b[:z] + nib[:z]] for b in base]
-        cell = own[node] * sign + 16
-        for x in lv:
-            cell = (cell << 5) + (level[x] * sign + 16)
-        gate = (lv[0] >> np.uint8(6)).astype(np.int32) + (lv[1] >> np.uint8(6)) * 4 + (lv[2] >> np.uint8(6)) * 16
-        out.append(((gate << 20) + cell).astype(np.uint32))
+        cell = own[node]
+        for x, q in zip(level, lv):
+            cell += x[q]
+        cell *= np.where(bit, np.int32(1), np.int32(-1))
+        gate = (lv[0] >> np.uint8(6)) + (lv[1] >> np.uint8(6) << np.uint8(2)) + (lv[2] >> np.uint8(6) << np.uint8(4))
+        cell += (gate.astype(np.int32) << 20) + np.int32(16 << 15 | 16 << 10 | 16 << 5 | 16)
+        out.append(cell.view(np.uint32))
         node = t.child[2 * node + bit]
         nib = 2 * nib[:z] + bit
     return np.concatenate(out)
@@ -742,15 +791,19 @@ def log2_probability(m: Model, texts: pa.Array, t: Tokens | None = None) -> tupl
     pred, sure = successors(m, t)
     first = np.searchsorted(t.row, np.arange(t.rows))
     place = np.arange(len(sym)) - first[t.row]
-    block = (np.frexp((place // BLOCK + 1).astype(np.float32))[1] - 1).astype(np.int16)
+    block = (np.frexp((place // BLOCK + 1).astype(np.float32))[1] - 1).astype(np.uint16)
+    final = block[np.append(first[1:], len(sym)) - 1]
+    last = int(final.max())
+    # the last block of a text refines nothing and comes at the end, with those of all texts
+    block[block == final[t.row]] = last
     depth = v.words.depth[sym]
     # blocks one after the other, in each the longest codes first: at every depth what is left is a stretch
-    o = np.lexsort((255 - depth, block)) if block.any() else np.argsort(255 - depth, kind="stable")
-    ends = np.cumsum(np.bincount(block))
+    o = np.argsort(block << np.uint16(8) | 255 - depth, kind="stable")
+    ends = np.cumsum(np.bincount(block, minlength=last + 1))
     scale = np.ones((5, t.rows), np.float32)
-    for a, z in zip(np.concatenate([[0], ends[:-1]]), ends):
+    for k, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
         i = o[a:z]
-        _block(m, sym[i], t.ctx[0][i], [p[i] for p in pred], [s[i] for s in sure], depth[i], t.row[i], scale, total)
+        _block(m, sym[i], t.ctx[0][i], [p[i] for p in pred], [s[i] for s in sure], depth[i], t.row[i], scale, total, k < last)
     if not t.hit.all():
         b_sym, b_row, b_ctx = spelled(v, t, ~t.hit)
         _bytes(m, b_sym, b_row, b_ctx, total)
@@ -764,74 +817,89 @@ def _look(table: np.ndarray, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.where(table[at, 0] == (key & U(255)).astype(np.uint8) | 1, at, len(table) - 1) * 16
 
 
-def _block(m: Model, sym: np.ndarray, ctx: np.ndarray, pred: list[np.ndarray], sure: list[np.ndarray], depth: np.ndarray, row: np.ndarray, scale: np.ndarray, total: np.ndarray) -> None:
-    """Score one block of each of some rows, then refine these rows' factors."""
-    t, table, flat, w = m.v.words, m.tables[WORD], m.tables[WORD].reshape(-1), m.word_weights
+def _block(m: Model, sym: np.ndarray, ctx: np.ndarray, pred: list[np.ndarray], sure: list[np.ndarray], depth: np.ndarray, row: np.ndarray, scale: np.ndarray, total: np.ndarray, refine: bool) -> None:
+    """Score one block of each of some rows, then refine these rows' factors if more of them follows."""
+    t, table, flat = m.v.words, m.tables[WORD], m.tables[WORD].reshape(-1)
     n = len(sym)
     if t.root < 0 or not n:
         return
-    weights = [np.ascontiguousarray(w[:, k]) for k in range(5)]
     left = np.cumsum(np.bincount(depth, minlength=256)[::-1])[::-1]  # symbols with so many bits or more
     node = np.full(n, t.root, np.int32)
-    gate0 = (sure[0] + 4 * sure[1] + 16 * sure[2]).astype(np.uint8)
-    nats, grad = np.zeros(n, np.float32), np.zeros((5, n), np.float32)
-    s = [scale[k, row] for k in range(5)]
+    gate0 = (sure[0] + 4 * sure[1] + 16 * sure[2]).astype(np.int64) << 8
+    nats, odds, grad = np.zeros(n, np.float32), np.ones(n, np.float32), np.zeros((5, n if refine else 0), np.float32)
+    s = [scale[k][row] for k in range(5)]
+    # of each kind of successor the symbols where it agrees so far, the successor, what it adds to the gate
+    live = [(a, p[a], c[a].astype(np.int64) << 8 + 2 * k) for k, (p, c) in enumerate(zip(pred, sure)) for a in [np.flatnonzero(c)]]
     base = nib = None
     for d in range(int(depth.max())):
         z = int(left[d + 1])
         node = node[:z]
         if d % 4 == 0:
             base, nib = _look(table, ctx[:z], node), np.ones(z, np.int64)
-        lv = flat[base[:z] + nib[:z]]
+        terms = m.word_terms[(d > 0) + (d > 3)]
+        gate = gate0[:z] + flat[base[:z] + nib[:z]]
         bit = sym[:z] >= node
-        sign = np.where(bit, np.float32(1), np.float32(-1))
-        gate = (gate0[:z].astype(np.int16) << 2) + (lv >> np.uint8(6))
-        gate += 128 * ((d > 0) + (d > 3))
-        f0, f1 = t.own[node] * sign, LOGIT[lv] * sign
-        s0, s1 = f0 * weights[0][gate], f1 * weights[1][gate]
-        x = s0 * s[0][:z] + s1 * s[1][:z]
-        active = np.flatnonzero(gate0[:z])
-        terms = []
-        if len(active):
-            ga, ba, na = gate[active], bit[active], node[active]
-            for k in range(3):
-                on = sure[k][active] > 0
-                hit = (pred[k][active] >= na) == ba
-                sk = np.where(on, np.where(hit, weights[2 + k][ga], -weights[2 + k][ga]), np.float32(0))
-                x[active] += sk * s[2 + k][active]
-                terms.append((sk, on, hit))
-        np.clip(x, -18, 18, out=x)
-        np.negative(x, out=x)
+        # all terms point away from the bit that came
+        away = np.where(bit, np.float32(-1), np.float32(1))
+        s0, s1 = t.own[node], terms[1][gate]
+        s0 *= terms[0][gate]
+        if refine:
+            s0 *= away
+            s1 *= away
+        x = s0 * s[0][:z]
+        x += s1 * s[1][:z]
+        if not refine:
+            x *= away
+        added = []
+        for k, (a, p, c) in enumerate(live):
+            if len(a) and a[-1] >= z:
+                stop = int(np.searchsorted(a, z))
+                a, p, c = a[:stop], p[:stop], c[:stop]
+            if len(a):
+                hit = (p >= node[a]) == bit[a]
+                sk = terms[2 + k][gate[a]]
+                np.negative(sk, out=sk, where=hit)
+                x[a] += sk * s[2 + k][a]
+                if refine:
+                    added.append((k, a, sk))
+                if not hit.all():
+                    gate0[a[~hit]] -= c[~hit]
+                    a, p, c = a[hit], p[hit], c[hit]
+            live[k] = a, p, c
+        np.minimum(x, 18, out=x)
         np.exp(x, out=x)
         x += 1
-        nats[:z] += np.log(x)
-        err = 1 - 1 / x
-        grad[0, :z] += err * s0
-        grad[1, :z] += err * s1
-        if len(active):
-            ea = err[active]
-            for k, (sk, on, hit) in enumerate(terms):
-                grad[2 + k, active] += ea * sk
-                off = active[on & ~hit]
-                gate0[off] -= sure[k][off] * np.uint8(4**k)
-                sure[k][off] = 0
+        # a product of four is at most e**72, within a float's range
+        odds[:z] *= x
+        if d % 4 == 3:
+            nats[:z] += np.log(odds[:z])
+            odds[:z] = 1
+        if refine:
+            err = np.reciprocal(x, out=x)
+            err -= 1
+            grad[0, :z] += err * s0
+            grad[1, :z] += err * s1
+            for k, a, sk in added:
+                grad[2 + k, a] += err[a] * sk
         node = t.child[2 * node + bit]
         nib = 2 * nib[:z] + bit
+    nats += np.log(odds)
     rows = scale.shape[1]
     total -= np.bincount(row, weights=nats, minlength=rows) / np.log(2)
-    bits = np.maximum(np.bincount(row, weights=depth, minlength=rows), 1)
-    for k in range(5):
-        scale[k] += np.clip(RATE * np.bincount(row, weights=grad[k], minlength=rows) / np.sqrt(bits), -0.25, 0.25).astype(np.float32)
+    if refine:
+        bits = np.maximum(np.bincount(row, weights=depth, minlength=rows), 1)
+        for k in range(5):
+            scale[k] += np.clip(RATE * np.bincount(row, weights=grad[k], minlength=rows) / np.sqrt(bits), -0.25, 0.25).astype(np.float32)
 
 
 def _bytes(m: Model, sym: np.ndarray, row: np.ndarray, ctx: list[np.ndarray], total: np.ndarray) -> None:
     """Score the bytes of spelled words."""
-    t, table, flat, w = m.v.bytes, m.tables[SPELL], m.tables[SPELL].reshape(-1), m.byte_weights
+    t, table, flat, terms = m.v.bytes, m.tables[SPELL], m.tables[SPELL].reshape(-1), m.byte_terms
     depth = t.depth[sym]
     o = np.argsort(255 - depth, kind="stable")
     sym, row, ctx, depth = sym[o], row[o], [c[o] for c in ctx], depth[o]
     left = np.cumsum(np.bincount(depth, minlength=256)[::-1])[::-1]
-    nats = np.zeros(len(sym), np.float32)
+    nats, odds = np.zeros(len(sym), np.float32), np.ones(len(sym), np.float32)
     node = np.full(len(sym), t.root, np.int32)
     for d in range(int(depth.max())):
         z = int(left[d + 1])
@@ -839,14 +907,24 @@ def _bytes(m: Model, sym: np.ndarray, row: np.ndarray, ctx: list[np.ndarray], to
         if d % 4 == 0:
             base, nib = [_look(table, c[:z], node) for c in ctx], np.ones(z, np.int64)
         bit = sym[:z] >= node
-        sign = np.where(bit, np.float32(1), np.float32(-1))
         lv = [flat[b[:z] + nib[:z]] for b in base]
-        gate = (lv[0] >> np.uint8(6)).astype(np.int16) + (lv[1] >> np.uint8(6)) * 4 + (lv[2] >> np.uint8(6)) * 16
-        f = [t.own[node] * sign, *(LOGIT[x] * sign for x in lv)]
-        x = sum(a * w[:, k][gate] for k, a in enumerate(f))
-        nats[:z] += np.log1p(np.exp(-np.clip(x, -18, 18)))
+        gate = ((lv[0] >> np.uint8(6)) + (lv[1] >> np.uint8(6) << np.uint8(2)) + (lv[2] >> np.uint8(6) << np.uint8(4))).astype(np.int64)
+        x = t.own[node]
+        x *= terms[0][gate]
+        gate <<= 6
+        for f, q in zip(terms[1:], lv):
+            x += f[gate + (q & np.uint8(63))]
+        x *= np.where(bit, np.float32(-1), np.float32(1))
+        np.minimum(x, 18, out=x)
+        np.exp(x, out=x)
+        x += 1
+        odds[:z] *= x
+        if d % 4 == 3:
+            nats[:z] += np.log(odds[:z])
+            odds[:z] = 1
         node = t.child[2 * node + bit]
         nib = 2 * nib[:z] + bit
+    nats += np.log(odds)
     total -= np.bincount(row, weights=nats, minlength=len(total)) / np.log(2)
 
 
